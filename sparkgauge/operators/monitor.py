@@ -133,7 +133,8 @@ def started_deltas(
 ) -> DataFrame:
     """(host, time, delta): tasks started since the highest count so far, where more than 0."""
     order = order or ["pos"]
-    counted = ticks.where("has_total_started")
+    needed = dict.fromkeys(["host", "pos", "time", "total_started", *order, cut_on or "pos"])
+    counted = ticks.where("has_total_started").select(*needed)
     scan = ordered_scan(
         counted,
         ["host"],

@@ -13,6 +13,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkgauge.session import materialize
+
 PIECES = 64
 PIECE = "_piece"
 
@@ -50,9 +52,12 @@ def add_piece(df: DataFrame, cut_on: str, pieces: int = PIECES, cut_by: str | No
         by_value = df.groupBy(cut_by).agg(cuts_of.alias("cuts"))
         cuts = by_value.agg(
             F.map_from_entries(F.collect_list(F.struct(cut_by, "cuts"))).alias("cuts")
-        ).scalar()[F.col(cut_by)]
-    below = F.size(F.filter(cuts, lambda cut: cut < F.col(cut_on)))
-    return df.withColumn(PIECE, F.coalesce(below, F.lit(0)))
+        ).scalar()
+        cuts = F.try_element_at(cuts, F.col(cut_by))
+    below = F.size(F.filter("_cuts", lambda cut: cut < F.col(cut_on)))
+    return (
+        df.withColumn("_cuts", cuts).withColumn(PIECE, F.coalesce(below, F.lit(0))).drop("_cuts")
+    )
 
 
 _PARTIAL = {
@@ -64,7 +69,7 @@ _PARTIAL = {
     "last": lambda r, order: F.max_by(r.column, F.when(r.column.isNotNull(), order)),
 }
 _COMBINE = {
-    "sum": lambda earlier, here: F.coalesce(earlier, _zero(earlier)) + F.coalesce(here, _zero(here)),
+    "sum": lambda earlier, here: F.coalesce(earlier, F.lit(0)) + F.coalesce(here, F.lit(0)),
     "max": lambda earlier, here: F.greatest(earlier, here),
     "min": lambda earlier, here: F.least(earlier, here),
     "first": lambda earlier, here: F.coalesce(earlier, here),
@@ -72,10 +77,6 @@ _COMBINE = {
 }
 
 
-def _zero(column: Column) -> Column:
-    return F.lit(0)
-
-
 def _over(kind: str, column: Column, window) -> Column:
     if kind == "sum":
         return F.sum(column).over(window)
@@ -96,12 +97,19 @@ def ordered_scan(
     pieces: int = PIECES,
     cut_on: str | None = None,
     cut_by: str | None = None,
+    staged: bool = True,
 ) -> Scan:
     """Running values per group in `order` (ascending), scanned piece by piece.
 
     `cut_on` must grow with `order`; by default it is the leading order column. A frame that
     already has a piece column (for example the log split a line came from) keeps it.
+
+    The input is read three times: for the cuts, the piece sums and the scan itself. `staged`
+    writes it to the shared folder first, so what produced it runs once; turn it off for a
+    frame that is a plain table already.
     """
+    if staged:
+        df = materialize(df, "ordered")
     if PIECE not in df.columns:
         df = add_piece(df, cut_on or order[0], pieces, cut_by)
     piece_keys = [*keys, PIECE]

@@ -13,6 +13,11 @@ def fields(*pairs):
     return T.StructType([T.StructField(name, dtype) for name, dtype in pairs])
 
 
+def with_corrupt(schema):
+    """The schema with the column that keeps the text of a line that is not whole JSON."""
+    return T.StructType([*schema.fields, T.StructField("_corrupt", STRING)])
+
+
 DISK_COUNTERS = fields(
     ("Sectors Read", LONG),
     ("Millis Reading", LONG),

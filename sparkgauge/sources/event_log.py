@@ -46,9 +46,8 @@ def read_lines(spark: SparkSession, paths, **options) -> DataFrame:
 
 
 def _decode(lines: DataFrame, event_name: str, schema) -> DataFrame:
-    with_corrupt = schemas.T.StructType(schema.fields).add("_corrupt", "string")
     decoded = F.from_json(
-        "value", with_corrupt, {"columnNameOfCorruptRecord": "_corrupt"}
+        "value", schemas.with_corrupt(schema), {"columnNameOfCorruptRecord": "_corrupt"}
     )
     # The text test is cheap and drops most lines before any JSON is parsed.
     return (
@@ -72,7 +71,7 @@ def bad_lines(lines: DataFrame) -> DataFrame:
     """Lines that are not a whole JSON object: the quarantine."""
     probe = F.from_json(
         "value",
-        schemas.fields(("Event", schemas.STRING), ("_corrupt", schemas.STRING)),
+        schemas.with_corrupt(schemas.fields(("Event", schemas.STRING))),
         {"columnNameOfCorruptRecord": "_corrupt"},
     )
     return lines.where(probe["_corrupt"].isNotNull() | probe.isNull())

@@ -22,7 +22,7 @@ def read_monitor_lines(spark: SparkSession, paths, pattern: str = MONITOR_FILES)
 
 def decode_samples(lines: DataFrame) -> DataFrame:
     """(host, pos, sample, ok)."""
-    schema = schemas.T.StructType(schemas.MONITOR_SAMPLE.fields).add("_corrupt", "string")
+    schema = schemas.with_corrupt(schemas.MONITOR_SAMPLE)
     sample = F.from_json("value", schema, {"columnNameOfCorruptRecord": "_corrupt"})
     return lines.select("host", "pos", sample.alias("sample")).withColumn(
         "ok", F.col("sample").isNotNull() & F.col("sample._corrupt").isNull()
