@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkgauge import schemas
 from sparkgauge.operators.tasks import task_columns
+from sparkgauge.session import materialize
 
 # Helper columns over lineitem.
 BASE = {
@@ -224,9 +225,9 @@ def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(app_id, pos, value): the events as JSON text lines."""
+    """(app_id, pos, value): the events as JSON text lines, written out like a log would be."""
     events = task_end_events(raw_tasks(spark, sf_dir))
-    return events.select("app_id", "pos", F.to_json("event").alias("value"))
+    return materialize(events.select("app_id", "pos", F.to_json("event").alias("value")), "lines")
 
 
 # A job lists its own map and reduce stage and, if any, the reduce stage of the job before.
