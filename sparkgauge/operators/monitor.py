@@ -2,6 +2,7 @@
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkgauge.constants import (
     BYTES_PER_GIB,
@@ -12,6 +13,8 @@ from sparkgauge.constants import (
 from sparkgauge.functions.units import last_path_part
 from sparkgauge.operators.joins import salted_join
 from sparkgauge.operators.ordered import PIECES, Running, ordered_scan
+from sparkgauge.operators.tasks import merge_maps
+from sparkgauge.schemas import MONITOR_DISK
 
 # Input keys of the gauges and the names they get here (fixed by the log format).
 GAUGES = {
@@ -95,17 +98,10 @@ def monitor_samples(samples: DataFrame, cores: int = CORES_PER_EXECUTOR) -> Data
 
 def monitor_disks(samples: DataFrame) -> DataFrame:
     """One row per tick and physical disk, with the disk's queue gauges (0 when not listed)."""
-    disk_type = "map<string,struct<utilization:double,read_Bps:double,write_Bps:double>>"
-    maps = F.col("sample.`Disk Utilization`.`Device Name To Utilization`").cast(f"array<{disk_type}>")
-    merged = F.aggregate(
-        maps,
-        F.expr(f"cast(map() as {disk_type})"),
-        lambda seen, one: F.map_concat(
-            F.map_filter(seen, lambda name, _: ~F.map_contains_key(one, name)), one
-        ),
-    )
+    maps = F.col("sample.`Disk Utilization`.`Device Name To Utilization`")
+    empty = F.create_map().cast(T.MapType(T.StringType(), MONITOR_DISK))
     rows = samples.select(
-        "host", "pos", "time", "sample", F.explode(merged).alias("disk", "usage")
+        "host", "pos", "time", "sample", F.explode(merge_maps(maps, empty)).alias("disk", "usage")
     ).where(is_physical_disk(F.col("disk")))
     # The queue list is short and sits in the same row: looked up without a join.
     queue = F.try_element_at(
@@ -120,7 +116,9 @@ def monitor_disks(samples: DataFrame) -> DataFrame:
         "pos",
         "time",
         "disk",
-        "usage.*",
+        F.col("usage.`Disk Utilization`").alias("utilization"),
+        F.col("usage.`Read Throughput`").alias("read_Bps"),
+        F.col("usage.`Write Throughput`").alias("write_Bps"),
         *[
             F.coalesce(queue[key], F.lit(0).cast("long")).alias(name)
             for key, name in QUEUES.items()

@@ -132,20 +132,20 @@ def _counter_deltas() -> Column:
     """Disk counters between the first and the last task, for the first task's disks."""
 
     def delta(start: Column, end: Column, field: str) -> Column:
-        last = F.when(end.isNotNull(), F.coalesce(end["end"][field], F.lit(0)))
-        return last - F.coalesce(start[field], F.lit(0))
+        last = F.when(end.isNotNull(), F.coalesce(end["End Counters"][field], F.lit(0)))
+        return last - F.coalesce(start["Start Counters"][field], F.lit(0))
 
     def one_disk(entry: Column) -> Column:
         start, end = entry["value"], F.col("last.disks")[entry["key"]]
-        read = delta(start, end, "sectors_read") * BYTES_PER_SECTOR
-        written = delta(start, end, "sectors_written") * BYTES_PER_SECTOR
-        busy = delta(start, end, "millis_total")
+        read = delta(start, end, "Sectors Read") * BYTES_PER_SECTOR
+        written = delta(start, end, "Sectors Written") * BYTES_PER_SECTOR
+        busy = delta(start, end, "Millis Total")
         return F.struct(
             entry["key"].alias("disk"),
             read.alias("bytes_read"),
             written.alias("bytes_written"),
-            delta(start, end, "millis_reading").alias("millis_reading"),
-            delta(start, end, "millis_writing").alias("millis_writing"),
+            delta(start, end, "Millis Reading").alias("millis_reading"),
+            delta(start, end, "Millis Writing").alias("millis_writing"),
             busy.alias("millis_total"),
             F.when(busy == 0, 0.0)
             .otherwise((read + written) / F.nullif(busy, F.lit(0)) * 1000)
@@ -164,10 +164,8 @@ def executor_stage_metrics(
     (last in the log on a tie). Both ends come out of one combinable aggregate, so a stage with
     very many tasks only sends partial results. Without `disks` the counter maps are not read.
     """
-    starts = F.transform_values("disks", lambda _, d: d["start"])
-    ends = F.transform_values("disks", lambda _, d: F.struct(d["end"].alias("end")))
-    first = F.struct(*FIRST_TASK, *([starts.alias("disks")] if disks else []))
-    last = F.struct(*LAST_TASK, *([ends.alias("disks")] if disks else []))
+    counters = ["disks"] if disks else []
+    first, last = F.struct(*FIRST_TASK, *counters), F.struct(*LAST_TASK, *counters)
     picked = job_tasks.groupBy(*STAGE_EXECUTOR).agg(
         F.min_by(first, F.struct("launch_ms", "pos")).alias("first"),
         F.max_by(last, F.struct("finish_ms", "pos")).alias("last"),

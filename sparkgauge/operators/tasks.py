@@ -2,23 +2,14 @@
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkgauge.constants import BYTES_PER_MB, NANOS_PER_MILLI
-
-
-_COUNTERS = (
-    "struct<sectors_read:bigint,millis_reading:bigint,sectors_written:bigint,"
-    "millis_writing:bigint,millis_total:bigint>"
-)
-# A task's disks: same fields, in the order of the log, under plain names.
-_DISKS_TYPE = (
-    "map<string,struct<utilization:double,read_Bps:double,write_Bps:double,"
-    f"start:{_COUNTERS},end:{_COUNTERS}>>"
-)
+from sparkgauge.schemas import TASK_DISK
 
 
 def _no_disks() -> Column:
-    return F.expr(f"cast(map() as {_DISKS_TYPE})")
+    return F.create_map().cast(T.MapType(T.StringType(), TASK_DISK))
 
 
 def _or_zero(column: Column) -> Column:
@@ -37,135 +28,194 @@ def _mb(num_bytes: Column) -> Column:
     return num_bytes / F.lit(float(BYTES_PER_MB))
 
 
-def disk_map(array_of_maps: Column) -> Column:
-    """Fold an array of single-device maps to one map; a repeated device keeps the last entry."""
-    return F.aggregate(
-        array_of_maps.cast(f"array<{_DISKS_TYPE}>"),
-        _no_disks(),
+def merge_maps(array_of_maps: Column, empty: Column) -> Column:
+    """Fold an array of small maps to one map; a repeated key keeps its last entry."""
+    entries = F.flatten(F.transform(array_of_maps, lambda one: F.map_entries(one)))
+    keys = F.flatten(F.transform(array_of_maps, lambda one: F.map_keys(one)))
+    last_wins = F.aggregate(
+        array_of_maps,
+        empty,
         lambda seen, one: F.map_concat(
-            F.map_filter(seen, lambda name, _: ~F.map_contains_key(one, name)), one
+            F.map_filter(seen, lambda key, _: ~F.map_contains_key(one, key)), one
         ),
     )
+    no_repeats = F.size(F.array_distinct(keys)) == F.size(keys)
+    return F.coalesce(F.when(no_repeats, F.map_from_entries(entries)).otherwise(last_wins), empty)
+
+
+# Where the raw fields of a task are in its event: name here -> path of keys.
+_METRICS, _CPU, _NET = "Task Metrics", "Cpu Utilization", "Network Utilization"
+_READ, _WRITE, _INPUT = "Shuffle Read Metrics", "Shuffle Write Metrics", "Input Metrics"
+LEAVES = {
+    "stage_id": ("Stage ID",),
+    "task_id": ("Task Info", "Task ID"),
+    "executor_id": ("Task Info", "Executor ID"),
+    "host": ("Task Info", "Host"),
+    "locality": ("Task Info", "Locality"),
+    "failed": ("Task Info", "Failed"),
+    "launch_ms": ("Task Info", "Launch Time"),
+    "finish_ms": ("Task Info", "Finish Time"),
+    "run_ms": (_METRICS, "Executor Run Time"),
+    "deser_ms": (_METRICS, "Executor Deserialize Time"),
+    "ser_ms": (_METRICS, "Result Serialization Time"),
+    "gc": (_METRICS, "JVM GC Time"),
+    "gc_total": (_METRICS, "JVM GC Time Total"),
+    "compute_ns": (_METRICS, "Computation Nanos"),
+    "cpu_ns": (_METRICS, "Executor CPU Time"),
+    "disk_ns": (_METRICS, "Disk Nanos"),
+    "spill": (_METRICS, "Disk Bytes Spilled"),
+    "disk_list": (_METRICS, "Disk Utilization", "Device Name To Utilization"),
+    "start_idle": (_METRICS, "Start Network Transmit Total Idle Millis"),
+    "end_idle": (_METRICS, "End Network Transmit Total Idle Millis"),
+    "start_tx": (_METRICS, _NET, "Start Counters", "Transmitted Bytes"),
+    "end_tx": (_METRICS, _NET, "End Counters", "Transmitted Bytes"),
+    "tx_rate": (_METRICS, _NET, "Bytes Transmitted Per Second"),
+    "rx_rate": (_METRICS, _NET, "Bytes Received Per Second"),
+    "user_util": (_METRICS, _CPU, "Process User Utilization"),
+    "sys_util": (_METRICS, _CPU, "Process System Utilization"),
+    "all_user_util": (_METRICS, _CPU, "Total User Utilization"),
+    "all_sys_util": (_METRICS, _CPU, "Total System Utilization"),
+    "start_user_jiffies": (_METRICS, _CPU, "Start Counters", "Total User Jiffies"),
+    "start_sys_jiffies": (_METRICS, _CPU, "Start Counters", "Total System Jiffies"),
+    "start_cpu_ms": (_METRICS, _CPU, "Start Counters", "Time Milliseconds"),
+    "end_user_jiffies": (_METRICS, _CPU, "End Counters", "Total User Jiffies"),
+    "end_sys_jiffies": (_METRICS, _CPU, "End Counters", "Total System Jiffies"),
+    "end_cpu_ms": (_METRICS, _CPU, "End Counters", "Time Milliseconds"),
+    "hdfs_deser": (_METRICS, "HDFS Deserialization/Decompression Millis"),
+    "hdfs_ser": (_METRICS, "HDFS Serialization/Compression Millis"),
+    "sw_write_ns": (_METRICS, _WRITE, "Shuffle Write Time"),
+    "sw_open_ns": (_METRICS, _WRITE, "Shuffle Open Time"),
+    "sw_close_ns": (_METRICS, _WRITE, "Shuffle Close Time"),
+    "sw_bytes": (_METRICS, _WRITE, "Shuffle Bytes Written"),
+    "in_read_ns": (_METRICS, _INPUT, "Read Time Nanos"),
+    "in_method": (_METRICS, _INPUT, "Data Read Method"),
+    "in_hadoop_bytes": (_METRICS, _INPUT, "Hadoop Bytes Read"),
+    "in_bytes": (_METRICS, _INPUT, "Bytes Read"),
+    "out_write_ns": (_METRICS, "Output Write Blocked Nanos"),
+    "out_bytes": (_METRICS, "Output Bytes"),
+    "fetch_wait": (_METRICS, _READ, "Fetch Wait Time"),
+    "fetch_local_blocks": (_METRICS, _READ, "Local Blocks Fetched"),
+    "fetch_remote_blocks": (_METRICS, _READ, "Remote Blocks Fetched"),
+    "fetch_remote_bytes": (_METRICS, _READ, "Remote Bytes Read"),
+    "fetch_local_bytes": (_METRICS, _READ, "Local Bytes Read"),
+    "fetch_local_ns": (_METRICS, _READ, "Local Read Time"),
+}
+
+
+def flat_events(events: DataFrame) -> DataFrame:
+    """Raw fields of (app_id, pos, event) side by side; an absent field is NULL."""
+
+    def leaf(path: tuple[str, ...]) -> Column:
+        column = F.col("event")
+        for key in path:
+            column = column[key]
+        return column
+
+    blocks = F.transform(
+        leaf((_METRICS, "Updated Blocks")), lambda block: block["Status"]["Memory Size"]
+    )
+    return events.select(
+        "app_id",
+        "pos",
+        *[leaf(path).alias(name) for name, path in LEAVES.items()],
+        blocks.alias("block_sizes"),
+        leaf((_METRICS, _READ)).isNotNull().alias("fetch_section"),
+    )
 
 
 def task_columns(
-    events: DataFrame,
+    flat: DataFrame,
     has_fetch_rule: str = "presence",
     cpu_source: str = "computation",
     success_only: bool = False,
 ) -> DataFrame:
-    """Flat task table from (app_id, pos, event).
+    """Task table from the raw fields: units, defaults and derived times.
 
     `has_fetch_rule='bytes>0'` and `cpu_source='executor_cpu_time'` suit stock logs, which
     always carry a shuffle-read section and have CPU time only as one executor counter.
     """
-    info, metrics = F.col("event.`Task Info`"), F.col("event.`Task Metrics`")
-    cpu, net = metrics["Cpu Utilization"], metrics["Network Utilization"]
-    fetch, shuffle_out = metrics["Shuffle Read Metrics"], metrics["Shuffle Write Metrics"]
-    source = metrics["Input Metrics"]
-    launch, finish = info["Launch Time"], info["Finish Time"]
-    run, deser = metrics["Executor Run Time"], metrics["Executor Deserialize Time"]
-    result_ser, gc = metrics["Result Serialization Time"], metrics["JVM GC Time"]
-    end_gc = _or_zero(metrics["JVM GC Time Total"])
-
+    c = F.col
     if has_fetch_rule == "presence":
-        has_fetch = fetch.isNotNull()
+        has_fetch = c("fetch_section")
     elif has_fetch_rule == "bytes>0":
-        has_fetch = (
-            _or_zero(fetch["Remote Bytes Read"]) + _or_zero(fetch["Local Bytes Read"]) > 0
-        )
+        has_fetch = _or_zero(c("fetch_remote_bytes")) + _or_zero(c("fetch_local_bytes")) > 0
     else:
         raise ValueError(f"unknown has_fetch_rule {has_fetch_rule!r}")
-    compute_nanos = {
-        "computation": metrics["Computation Nanos"],
-        "executor_cpu_time": metrics["Executor CPU Time"],
-    }[cpu_source]
-
-    def jiffies(counters: Column) -> Column:
-        return _or_zero(counters["Total User Jiffies"] + counters["Total System Jiffies"])
-
-    method = F.coalesce(source["Data Read Method"], F.lit("unknown"))
-    blocks = F.transform(
-        F.coalesce(metrics["Updated Blocks"], F.array().cast("array<struct<Status:struct<`Memory Size`:bigint>>>")),
-        lambda b: b["Status"]["Memory Size"],
-    )
+    compute_ns = {"computation": c("compute_ns"), "executor_cpu_time": c("cpu_ns")}[cpu_source]
+    end_gc = _or_zero(c("gc_total"))
+    method = F.coalesce("in_method", F.lit("unknown"))
+    input_bytes = F.when(
+        (method == "Hadoop") & c("in_hadoop_bytes").isNotNull(), c("in_hadoop_bytes")
+    ).otherwise(c("in_bytes"))
+    blocks = F.coalesce("block_sizes", F.array().cast("array<bigint>"))
     in_memory = F.exists(blocks, lambda size: size > 0)
-    output_bytes = _or_zero(metrics["Output Bytes"])
-    block_bytes = F.aggregate(blocks, F.lit(0).cast("long"), lambda a, size: a + size)
+    output_bytes = _or_zero(c("out_bytes"))
+    block_bytes = F.aggregate(blocks, F.lit(0).cast("long"), lambda total, size: total + size)
 
     if success_only:
-        events = events.where(~F.coalesce(info["Failed"], F.lit(False)))
-    return events.select(
+        flat = flat.where(~F.coalesce("failed", F.lit(False)))
+    return flat.select(
         "app_id",
         "pos",
-        F.col("event.`Stage ID`").alias("stage_id"),
-        info["Task ID"].alias("task_id"),
-        info["Executor ID"].alias("executor_id"),
-        info["Host"].alias("host"),
-        launch.alias("launch_ms"),
-        finish.alias("finish_ms"),
-        (finish - launch).alias("runtime_ms"),
-        run.alias("executor_run_ms"),
-        deser.alias("executor_deser_ms"),
-        result_ser.alias("result_ser_ms"),
-        (finish - run - deser - result_ser - launch).alias("scheduler_delay_ms"),
-        gc.alias("gc_ms"),
-        (end_gc - gc).alias("start_gc_total"),
+        "stage_id",
+        "task_id",
+        "executor_id",
+        "host",
+        "launch_ms",
+        "finish_ms",
+        (c("finish_ms") - c("launch_ms")).alias("runtime_ms"),
+        c("run_ms").alias("executor_run_ms"),
+        c("deser_ms").alias("executor_deser_ms"),
+        c("ser_ms").alias("result_ser_ms"),
+        (c("finish_ms") - c("launch_ms") - c("run_ms") - c("deser_ms") - c("ser_ms")).alias("scheduler_delay_ms"),
+        c("gc").alias("gc_ms"),
+        (end_gc - c("gc")).alias("start_gc_total"),
         end_gc.alias("end_gc_total"),
-        _millis(compute_nanos).alias("compute_ms"),
-        _millis(metrics["Disk Nanos"]).alias("disk_ms"),
-        _or_zero(metrics["Disk Bytes Spilled"]).alias("disk_bytes_spilled"),
-        (_or_zero(metrics["Disk Bytes Spilled"]) > 0).alias("spilled"),
-        F.coalesce(
-            disk_map(metrics["Disk Utilization"]["Device Name To Utilization"]), _no_disks()
-        ).alias("disks"),
-        net["Start Counters"]["Transmitted Bytes"].alias("start_tx_bytes"),
-        net["End Counters"]["Transmitted Bytes"].alias("end_tx_bytes"),
-        _or_zero_double(net["Bytes Transmitted Per Second"]).alias("tx_Bps"),
-        _or_zero_double(net["Bytes Received Per Second"]).alias("rx_Bps"),
-        _or_zero_double(metrics["Start Network Transmit Total Idle Millis"]).alias("start_tx_idle_ms"),
-        _or_zero_double(metrics["End Network Transmit Total Idle Millis"]).alias("end_tx_idle_ms"),
-        _or_zero_double(cpu["Process User Utilization"]).alias("proc_user_cpu"),
-        _or_zero_double(cpu["Process System Utilization"]).alias("proc_sys_cpu"),
-        _or_zero_double(cpu["Process User Utilization"] + cpu["Process System Utilization"]).alias("proc_cpu"),
-        _or_zero_double(cpu["Total User Utilization"] + cpu["Total System Utilization"]).alias("total_cpu"),
-        jiffies(cpu["Start Counters"]).alias("start_cpu_jiffies"),
-        jiffies(cpu["End Counters"]).alias("end_cpu_jiffies"),
-        _or_zero(cpu["Start Counters"]["Time Milliseconds"]).alias("start_cpu_sample_ms"),
-        _or_zero(cpu["End Counters"]["Time Milliseconds"]).alias("end_cpu_sample_ms"),
-        _or_zero_double(metrics["HDFS Deserialization/Decompression Millis"]).alias("hdfs_deser_ms"),
-        _or_zero_double(metrics["HDFS Serialization/Compression Millis"]).alias("hdfs_ser_ms"),
-        (
-            _millis(shuffle_out["Shuffle Write Time"])
-            + _millis(shuffle_out["Shuffle Open Time"])
-            + _millis(shuffle_out["Shuffle Close Time"])
-        ).alias("shuffle_write_ms"),
-        _or_zero_double(_mb(shuffle_out["Shuffle Bytes Written"])).alias("shuffle_write_mb"),
-        _millis(source["Read Time Nanos"]).alias("input_read_ms"),
+        _millis(compute_ns).alias("compute_ms"),
+        _millis(c("disk_ns")).alias("disk_ms"),
+        _or_zero(c("spill")).alias("disk_bytes_spilled"),
+        (_or_zero(c("spill")) > 0).alias("spilled"),
+        merge_maps(c("disk_list"), _no_disks()).alias("disks"),
+        c("start_tx").alias("start_tx_bytes"),
+        c("end_tx").alias("end_tx_bytes"),
+        _or_zero_double(c("tx_rate")).alias("tx_Bps"),
+        _or_zero_double(c("rx_rate")).alias("rx_Bps"),
+        _or_zero_double(c("start_idle")).alias("start_tx_idle_ms"),
+        _or_zero_double(c("end_idle")).alias("end_tx_idle_ms"),
+        _or_zero_double(c("user_util")).alias("proc_user_cpu"),
+        _or_zero_double(c("sys_util")).alias("proc_sys_cpu"),
+        _or_zero_double(c("user_util") + c("sys_util")).alias("proc_cpu"),
+        _or_zero_double(c("all_user_util") + c("all_sys_util")).alias("total_cpu"),
+        _or_zero(c("start_user_jiffies") + c("start_sys_jiffies")).alias("start_cpu_jiffies"),
+        _or_zero(c("end_user_jiffies") + c("end_sys_jiffies")).alias("end_cpu_jiffies"),
+        _or_zero(c("start_cpu_ms")).alias("start_cpu_sample_ms"),
+        _or_zero(c("end_cpu_ms")).alias("end_cpu_sample_ms"),
+        _or_zero_double(c("hdfs_deser")).alias("hdfs_deser_ms"),
+        _or_zero_double(c("hdfs_ser")).alias("hdfs_ser_ms"),
+        (_millis(c("sw_write_ns")) + _millis(c("sw_open_ns")) + _millis(c("sw_close_ns"))).alias("shuffle_write_ms"),
+        _or_zero_double(_mb(c("sw_bytes"))).alias("shuffle_write_mb"),
+        _millis(c("in_read_ns")).alias("input_read_ms"),
         method.alias("input_method"),
-        _or_zero_double(
-            _mb(
-                F.when(
-                    (method == "Hadoop") & source["Hadoop Bytes Read"].isNotNull(),
-                    source["Hadoop Bytes Read"],
-                ).otherwise(source["Bytes Read"])
-            )
-        ).alias("input_mb"),
-        _millis(metrics["Output Write Blocked Nanos"]).alias("output_write_ms"),
+        _or_zero_double(_mb(input_bytes)).alias("input_mb"),
+        _millis(c("out_write_ns")).alias("output_write_ms"),
         (_mb(output_bytes) + _mb(block_bytes)).alias("output_mb"),
         (~in_memory).alias("output_on_disk"),
         (in_memory & (output_bytes > 0)).alias("output_conflict"),
         has_fetch.alias("has_fetch"),
-        (has_fetch | F.coalesce(info["Locality"] == "NODE_LOCAL", F.lit(False))).alias("data_local"),
-        F.when(has_fetch, fetch["Fetch Wait Time"]).alias("fetch_wait_ms"),
-        F.when(has_fetch, fetch["Local Blocks Fetched"]).alias("local_blocks"),
-        F.when(has_fetch, fetch["Remote Blocks Fetched"]).alias("remote_blocks"),
-        F.when(has_fetch, _mb(fetch["Remote Bytes Read"])).alias("remote_mb"),
-        F.when(has_fetch, _or_zero_double(_mb(fetch["Local Bytes Read"]))).alias("local_mb"),
-        F.when(has_fetch, _millis(fetch["Local Read Time"])).alias("local_read_ms"),
+        (has_fetch | F.coalesce(c("locality") == "NODE_LOCAL", F.lit(False))).alias("data_local"),
+        F.when(has_fetch, c("fetch_wait")).alias("fetch_wait_ms"),
+        F.when(has_fetch, c("fetch_local_blocks")).alias("local_blocks"),
+        F.when(has_fetch, c("fetch_remote_blocks")).alias("remote_blocks"),
+        F.when(has_fetch, _mb(c("fetch_remote_bytes"))).alias("remote_mb"),
+        F.when(has_fetch, _or_zero_double(_mb(c("fetch_local_bytes")))).alias("local_mb"),
+        F.when(has_fetch, _millis(c("fetch_local_ns"))).alias("local_read_ms"),
     )
 
 
+def tasks_from_events(events: DataFrame, **options) -> DataFrame:
+    return task_columns(flat_events(events), **options)
+
+
 def with_input_size(tasks: DataFrame) -> DataFrame:
     """What the task read: from the shuffle if it fetched, else its input."""
     size = F.when(F.col("has_fetch"), F.col("remote_mb") + F.col("local_mb"))

@@ -35,8 +35,8 @@ def utilization_pairs(
         F.transform(
             F.filter(F.map_entries("disks"), lambda d: d["key"].isin(*disks)),
             lambda d: F.array(
-                entry("disk_utilization", d["value"]["utilization"]),
-                entry("disk_throughput", d["value"]["read_Bps"] + d["value"]["write_Bps"]),
+                entry("disk_utilization", d["value"]["Disk Utilization"]),
+                entry("disk_throughput", d["value"]["Read Throughput"] + d["value"]["Write Throughput"]),
             ),
         )
     )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sparkgauge.functions.units import BIT_UNITS, scaled
 from sparkgauge.operators import attribution, ideal, monitor, rollup, stats, utilization
 from sparkgauge.operators import waterfall as lanes
-from sparkgauge.operators.tasks import task_columns, with_input_size
+from sparkgauge.operators.tasks import task_summary_text, tasks_from_events, with_input_size
 from sparkgauge.plans import fixtures, reports
 from sparkgauge.session import materialize
 from sparkgauge.sinks import text
@@ -86,21 +86,24 @@ _NOT_FLAT = ("pos", "disks")
 def s3_p1_p17_decoded_tasks(spark, sf_dir):
     """Events as JSON text, decoded and flattened to task columns."""
     lines = fixtures.event_lines(spark, sf_dir)
-    tasks = with_input_size(task_columns(event_log.task_end_events(lines)))
+    tasks = with_input_size(tasks_from_events(event_log.task_end_events(lines)))
     return rounded(tasks.drop(*_NOT_FLAT))
 
 
 @query
 def p6_task_disks(spark, sf_dir):
     """Per-disk counters of each task, from JSON text with one map per device."""
-    tasks = task_columns(event_log.task_end_events(fixtures.event_lines(spark, sf_dir)))
+    tasks = tasks_from_events(event_log.task_end_events(fixtures.event_lines(spark, sf_dir)))
     rows = tasks.select("app_id", "task_id", "launch_ms", F.explode("disks").alias("disk", "d"))
     return rounded(
         rows.select(
-            "app_id", "task_id", "launch_ms", "disk", "d.utilization", "d.read_Bps", "d.write_Bps",
-            F.col("d.start.sectors_read").alias("start_sectors_read"),
-            F.col("d.end.sectors_written").alias("end_sectors_written"),
-            F.col("d.end.millis_total").alias("end_millis_total"),
+            "app_id", "task_id", "launch_ms", "disk",
+            F.col("d.`Disk Utilization`").alias("utilization"),
+            F.col("d.`Read Throughput`").alias("read_Bps"),
+            F.col("d.`Write Throughput`").alias("write_Bps"),
+            F.col("d.`Start Counters`.`Sectors Read`").alias("start_sectors_read"),
+            F.col("d.`End Counters`.`Sectors Written`").alias("end_sectors_written"),
+            F.col("d.`End Counters`.`Millis Total`").alias("end_millis_total"),
         )
     )
 
@@ -165,8 +168,6 @@ def j3_job_names(spark, sf_dir):
 @query
 def p18_task_text(spark, sf_dir):
     """Readable task lines (text layout, not compared)."""
-    from sparkgauge.operators.tasks import task_summary_text
-
     return task_summary_text(fixtures.tasks(spark, sf_dir))
 
 

@@ -113,29 +113,48 @@ def raw_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def task_end_events(raw: DataFrame) -> DataFrame:
-    """(app_id, pos, event) with the event in the shape the log source decodes."""
-    c = F.col
+def _disk_list() -> Column:
+    """One map per disk, as in the log. Executor 4 has no xvdf."""
 
-    def struct(keys: dict[str, str]) -> Column:
-        return F.struct(*[c(name).alias(key) for key, name in keys.items()])
+    def usage(disk: Column) -> Column:
+        k = disk["k"]
 
-    def disk(name: str, k: int) -> Column:
         def counters(ms: str) -> Column:
-            texts = [text.format(ms=ms, k=k) for text in DISK_COUNTERS.values()]
+            half = [k * F.col(ms) / F.lit(80.0), (k - 4) * F.col(ms) / F.lit(80.0)]
+            values = [
+                F.col(ms) * k,
+                F.floor(half[0]),
+                F.col(ms) * (k - 4),
+                F.floor(half[1]),
+                F.floor(F.col(ms) * k / F.lit(40.0)),
+            ]
             keys = schemas.DISK_COUNTERS.fieldNames()
-            return F.struct(*[F.expr(t).alias(key) for key, t in zip(keys, texts)])
+            return F.struct(*[value.alias(key) for key, value in zip(keys, values)])
 
-        rates = [text.format(k=k) for text in DISK_RATES.values()]
-        usage = F.struct(
-            *[F.expr(t).alias(key) for key, t in zip(schemas.TASK_DISK.fieldNames(), rates)],
+        return F.struct(
+            (k * (1 + F.col("disc100")) / F.lit(1000.0)).alias("Disk Utilization"),
+            (F.col("dur_ms") * k * 100).cast("double").alias("Read Throughput"),
+            (F.col("dur_ms") * (k - 4) * 50).cast("double").alias("Write Throughput"),
             counters("launch_ms").alias("Start Counters"),
             counters("finish_ms").alias("End Counters"),
         )
-        return F.create_map(F.lit(name), usage)
 
-    all_disks = F.array(*[disk(name, k) for name, k in DISKS.items()])
-    without_f = F.array(*[disk(name, k) for name, k in DISKS.items() if name != "xvdf"])
+    def described(names) -> Column:
+        return F.array(*[F.struct(F.lit(n).alias("name"), F.lit(DISKS[n]).cast("bigint").alias("k")) for n in names])
+
+    present = F.when(
+        F.col("exec_no") == 4, described([n for n in DISKS if n != "xvdf"])
+    ).otherwise(described(list(DISKS)))
+    return F.transform(present, lambda disk: F.create_map(disk["name"], usage(disk)))
+
+
+def task_end_events(raw: DataFrame) -> DataFrame:
+    """(app_id, pos, event) with the event in the shape the log source decodes."""
+    c = F.col
+
+    def struct(keys: dict[str, str]) -> Column:
+        return F.struct(*[c(name).alias(key) for key, name in keys.items()])
+
     metrics = F.struct(
         c("run_ms").alias("Executor Run Time"),
         c("deser_ms").alias("Executor Deserialize Time"),
@@ -146,9 +165,7 @@ def task_end_events(raw: DataFrame) -> DataFrame:
         c("disk_ns").alias("Disk Nanos"),
         c("compute_ns").alias("Computation Nanos"),
         c("spill").alias("Disk Bytes Spilled"),
-        F.struct(
-            F.when(c("exec_no") == 4, without_f).otherwise(all_disks).alias("Device Name To Utilization")
-        ).alias("Disk Utilization"),
+        F.struct(_disk_list().alias("Device Name To Utilization")).alias("Disk Utilization"),
         c("start_idle").alias("Start Network Transmit Total Idle Millis"),
         c("end_idle").alias("End Network Transmit Total Idle Millis"),
         F.struct(
@@ -221,7 +238,18 @@ def task_end_events(raw: DataFrame) -> DataFrame:
 
 
 def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return task_columns(task_end_events(raw_tasks(spark, sf_dir)))
+    """The task table straight from the raw fields."""
+    flat = raw_tasks(spark, sf_dir).select(
+        "*",
+        _disk_list().alias("disk_list"),
+        F.when(F.col("block_a").isNotNull(), F.array("block_a", "block_b")).alias("block_sizes"),
+        F.col("fetch_wait").isNotNull().alias("fetch_section"),
+        F.lit(False).alias("failed"),
+        F.lit(None).cast("bigint").alias("cpu_ns"),
+        F.col("launch_ms").alias("start_cpu_ms"),
+        F.col("finish_ms").alias("end_cpu_ms"),
+    )
+    return task_columns(flat)
 
 
 def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
