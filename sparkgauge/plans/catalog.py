@@ -441,6 +441,15 @@ def m11_counter_checks(spark, sf_dir):
 
 # --- composite reports ---------------------------------------------------------------------
 
+@query
+def g2_small_job_tasks(spark, sf_dir):
+    """Shuffle report: task runtimes of the small jobs only."""
+    kept = attribution.small_jobs(_stages(spark, sf_dir))
+    selected = attribution.keep_jobs(fixtures.job_stages(spark, sf_dir), kept)
+    tasks = attribution.attach_jobs(fixtures.tasks(spark, sf_dir), selected)
+    return rounded(stats.summary(tasks, ["app_id", "job_id"], "runtime_ms"))
+
+
 @query
 def g3_sort_phases(spark, sf_dir):
     models = materialize(_models(spark, sf_dir, gbps=reports.NETWORK_GBPS_SORT), "sort_models")

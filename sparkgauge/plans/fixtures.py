@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkgauge import schemas
 from sparkgauge.operators.tasks import task_columns
-from sparkgauge.session import materialize
+from sparkgauge.session import materialize, spread
 
 # Helper columns over lineitem.
 BASE = {
@@ -100,7 +100,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def raw_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One flat row of raw event fields per lineitem row."""
-    base = table(spark, sf_dir, "lineitem").selectExpr(
+    lineitem = spread(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey")
+    base = lineitem.selectExpr(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
         *[f"{text} AS {name}" for name, text in BASE.items()],
     )
@@ -318,7 +319,7 @@ MONITOR_DISKS = {"xvdb": (3, "/mnt/xvdb"), "sda1": (2, None), "sdc": (5, "/mnt/s
 
 def monitor_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(host, pos, time_ms, sample) with the sample in the shape the monitor source decodes."""
-    base = table(spark, sf_dir, "events").selectExpr(
+    base = spread(table(spark, sf_dir, "events"), "event_id").selectExpr(
         "event_id", "user_id", "event_type", "value",
         "unix_millis(CAST(ts AS TIMESTAMP)) AS time_ms",
         "CAST(get_json_object(props, '$.k') AS BIGINT) AS k",
@@ -375,7 +376,7 @@ def monitor_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def work_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(file, pos, value): text lines, compute and network and others, of slowly changing stages."""
-    base = table(spark, sf_dir, "events").selectExpr(
+    base = spread(table(spark, sf_dir, "events"), "event_id").selectExpr(
         "event_id", "user_id", "event_type", "unix_millis(CAST(ts AS TIMESTAMP)) AS time_ms",
         "CAST(get_json_object(props, '$.k') AS BIGINT) AS k",
     )

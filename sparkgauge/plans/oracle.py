@@ -594,6 +594,12 @@ ph AS (
               UNION ALL SELECT {_KS}, 'network_mb', network_mb, floor(tx_bytes / CAST(1048576 AS DOUBLE)) FROM mo)""",
             body=f'SELECT {_KS}, "check", round(base, 6) AS base, round(other, 6) AS other, round(abs(other - base) / base, 6) AS rel_diff, abs(other - base) / base > 0.1 AND other > 0 AS flagged FROM ck WHERE base > 0',
         ),
+        "g2_small_job_tasks": _with(
+            *_ST,
+            "sm_ AS (SELECT app_id, job_id FROM stages GROUP BY app_id, job_id HAVING count(*) <= 1 AND max(n_tasks) > 5)",
+            "sjt AS (SELECT jt.* FROM jt JOIN sm_ USING (app_id, job_id))",
+            body=_summary("sjt", "app_id, job_id", "runtime_ms"),
+        ),
         "g3_sort_phases": _with(
             *sort_models[:3],
             _STAGES,

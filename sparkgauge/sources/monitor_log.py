@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from sparkgauge import schemas
 from sparkgauge.operators.joins import salted_join
+from sparkgauge.session import materialize
 from sparkgauge.sources.event_log import file_position
 
 MONITOR_FILES = "*executor_monitor"
@@ -29,12 +30,15 @@ def decode_samples(lines: DataFrame) -> DataFrame:
     )
 
 
-def whole_samples(decoded: DataFrame) -> DataFrame:
+def whole_samples(decoded: DataFrame, staged: bool = True) -> DataFrame:
     """Samples before the first broken line of their file.
 
     Lines that are not JSON are skipped at the beginning of a file; after the first sample the
-    first one that is not JSON ends the file (the writer was cut off there).
+    first one that is not JSON ends the file (the writer was cut off there). The decoded lines
+    are read several times, here and for relative times, so they are `staged` as a table.
     """
+    if staged:
+        decoded = materialize(decoded, "samples")
     first = decoded.groupBy("host").agg(F.min(F.when(F.col("ok"), F.col("pos"))).alias("first_good"))
     bad = decoded.where(~F.col("ok")).select("host", F.col("pos").alias("bad_pos"))
     stop = (
