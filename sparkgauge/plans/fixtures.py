@@ -317,13 +317,22 @@ MONITOR = {
 MONITOR_DISKS = {"xvdb": (3, "/mnt/xvdb"), "sda1": (2, None), "sdc": (5, "/mnt/sdc"), "ram0": (7, None)}
 
 
-def monitor_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(host, pos, time_ms, sample) with the sample in the shape the monitor source decodes."""
-    base = spread(table(spark, sf_dir, "events"), "event_id").selectExpr(
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with the time in epoch millis; a time without zone counts as UTC in any session."""
+    events = spread(table(spark, sf_dir, "events"), "event_id")
+    instant = "CAST(ts AS TIMESTAMP)"
+    if dict(events.dtypes)["ts"] == "timestamp_ntz":
+        instant = f"from_utc_timestamp({instant}, current_timezone())"
+    return events.selectExpr(
         "event_id", "user_id", "event_type", "value",
-        "unix_millis(CAST(ts AS TIMESTAMP)) AS time_ms",
+        f"unix_millis({instant}) AS time_ms",
         "CAST(get_json_object(props, '$.k') AS BIGINT) AS k",
     )
+
+
+def monitor_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(host, pos, time_ms, sample) with the sample in the shape the monitor source decodes."""
+    base = _events(spark, sf_dir)
     c = F.col
     flat = base.selectExpr("event_id", "time_ms", "k", *[f"{text} AS {name}" for name, text in MONITOR.items()])
     disks = F.array(*[
@@ -376,10 +385,7 @@ def monitor_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def work_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(file, pos, value): text lines, compute and network and others, of slowly changing stages."""
-    base = spread(table(spark, sf_dir, "events"), "event_id").selectExpr(
-        "event_id", "user_id", "event_type", "unix_millis(CAST(ts AS TIMESTAMP)) AS time_ms",
-        "CAST(get_json_object(props, '$.k') AS BIGINT) AS k",
-    )
+    base = _events(spark, sf_dir)
     word = F.expr(
         "CASE WHEN event_type IN ('view', 'click') THEN 'compute' WHEN event_type = 'error' THEN 'network' "
         "WHEN event_type = 'signup' THEN 'networkNetworkResponse' ELSE 'other' END"

@@ -69,7 +69,7 @@ def _millis(seconds: str) -> Column:
     return F.col(seconds) * 1000
 
 
-def sort_report(models: DataFrame, job_stages: DataFrame, keys: list[str] = ["app_id"]) -> DataFrame:
+def sort_report(models: DataFrame, job_stages: DataFrame, keys: tuple[str, ...] = ("app_id",)) -> DataFrame:
     """Map, reduce and total times in seconds (min, median, max): actual and ideal.
 
     `models` is `stage_models(..., gbps=NETWORK_GBPS_SORT)`, as a table. The total of a job is
