@@ -1,5 +1,6 @@
 """Session settings and durable intermediates."""
 
+import re
 import tempfile
 import uuid
 
@@ -36,12 +37,29 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors see. A temporary one is made only where the cluster names none."""
+    """Folder all executors see: the one the cluster names in spark.checkpoint.dir.
+
+    Where it is unset, a session on one machine gets a folder of its own; on a cluster that
+    would lose data, so it is an error.
+    """
     folder = spark.conf.get(CHECKPOINT_CONF, None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="sparkgauge-")
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="checkpoints-")
         spark.conf.set(CHECKPOINT_CONF, folder)
-    return folder
+    return folder.rstrip("/")
+
+
+def run_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
+    return f"{shared_dir(spark)}/sparkgauge/{spark.sparkContext.applicationId}"
+
+
+def remove_run(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this application. Frames built on them end with it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(run_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, name: str, partition_by=()) -> DataFrame:
@@ -51,9 +69,9 @@ def materialize(df: DataFrame, name: str, partition_by=()) -> DataFrame:
     the planner true file sizes, so broadcast decisions are made from a checked size.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/sparkgauge/{name}-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
