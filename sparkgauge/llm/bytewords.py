@@ -56,7 +56,7 @@ def _letters() -> np.ndarray:
     return mix(np.arange(1, 257, dtype=np.uint64) * _PRIME)
 
 
-@functools.lru_cache(1)
+@functools.lru_cache(2)
 def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
     size = 1 << bits
     up, down = np.empty(size, np.uint64), np.empty(size, np.uint64)
@@ -77,7 +77,7 @@ def spans(raw: np.ndarray, member: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """One 64-bit hash per span of bytes."""
-    up, down = _powers(max(21, int(len(raw)).bit_length()))
+    up, down = _powers(max(23, int(len(raw)).bit_length()))
     with np.errstate(over="ignore"):
         total = np.zeros(len(raw) + 1, np.uint64)
         np.cumsum(_letters()[raw] * up[: len(raw)], out=total[1:])
