@@ -88,14 +88,14 @@ def bucket_links(
     members: DataFrame,
     verify: Callable[[DataFrame], DataFrame],
     small: int = 16,
-    near: DataFrame | None = None,
+    near: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Confirmed links (a, b) that connect all that is connected inside the buckets.
 
     `members` is (bucket, id); `verify` keeps the pairs (a, b) that are really linked.
     Buckets of up to `small` ids have all their pairs verified. In a larger one, which mostly
     holds one family of near copies, a pair inside an already connected part adds nothing:
-    the pairs in `near` (say, neighbours in a sorted order) come first, then, per bucket, the
+    the pairs that `near` gives for its (bucket, id) rows come first, then, per bucket, the
     ids outside its main component against one id of that component and one of their own; what
     is still apart after that is verified in full against all ids with another label. So no
     component is missed and a bucket's pairs are written out only where it falls apart.
@@ -115,14 +115,15 @@ def bucket_links(
         few.select("bucket", F.col("id").alias("b")), "bucket"
     )
     candidates = twos.unionByName(inside.where("a < b").select("a", "b"))
-    if near is not None:
-        candidates = candidates.unionByName(near.select("a", "b"))
-    tried = stage(_pairs(candidates).distinct(), "candidates")
-    edges = stage(verify(tried), "links")
     crowd = stage(
         members.join(sizes.where(f"n > {small}").select("bucket"), "bucket"), "crowded"
     )
-    if is_empty(crowd):
+    crowded = not is_empty(crowd)
+    if crowded and near is not None:
+        candidates = candidates.unionByName(near(crowd).select("a", "b"))
+    tried = stage(_pairs(candidates).distinct(), "candidates")
+    edges = stage(verify(tried), "links")
+    if not crowded:
         return edges
     for last in (False, False, True):
         labelled = _labelled(crowd, edges)

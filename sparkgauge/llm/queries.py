@@ -5,12 +5,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkgauge.llm import bpe
+from sparkgauge.llm import bpe, minhash_dedup
 from sparkgauge.llm.shared import read
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(read(spark, sf_dir, "documents"), size=3, percent=85)
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = bpe.load(TOKENIZER)
     return bpe.digests(bpe.encode_decode(read(spark, sf_dir, "documents"), model))
@@ -18,6 +22,7 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op5_minhash_dedup": op5_minhash_dedup,
         "op8_bpe": op8_bpe,
     }
 

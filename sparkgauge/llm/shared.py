@@ -51,6 +51,17 @@ def map_texts(
     return df.mapInArrow(mapper, schema)
 
 
+#: Ids up to which a lookup side goes out as a broadcast (8 MB of longs); more are shuffled.
+BROADCAST_IDS = 1_000_000
+
+
+def rows_of(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows of `df` whose `key` is among the distinct `ids`. The ids are counted first: only
+    up to BROADCAST_IDS of them are broadcast, so that a table of texts need not move."""
+    small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return df.join(F.broadcast(ids) if small else ids, key, "left_semi")
+
+
 def with_defaults(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     """The named columns with the wanted types, in this order; other columns are left out."""
     return df.select(*[F.col(f"`{c}`").cast(kind).alias(c) for c, kind in columns.items()])
