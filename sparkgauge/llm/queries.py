@@ -5,12 +5,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkgauge.llm import bpe, minhash_dedup
+from sparkgauge.llm import bpe, line_dedup, minhash_dedup, toxicity
 from sparkgauge.llm.shared import read
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.repeated_lines(read(spark, sf_dir, "documents"))
+
+
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(read(spark, sf_dir, "documents"), size=3, percent=85)
 
@@ -20,10 +24,18 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_decode(read(spark, sf_dir, "documents"), model))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.predictions(
+        read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), fold=5, cut=0.5
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_line_dedup": op1_line_dedup,
         "op5_minhash_dedup": op5_minhash_dedup,
         "op8_bpe": op8_bpe,
+        "op10_toxicity": op10_toxicity,
     }
 
 
