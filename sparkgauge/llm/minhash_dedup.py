@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from sparkgauge.llm.bytewords import NOT_BLANK, mix, words
 from sparkgauge.llm.components import bucket_links, components
-from sparkgauge.llm.shared import map_texts, rows_of, stage
+from sparkgauge.llm.shared import map_texts, rows_of, runs, stage
 
 DEPTH = 4
 #: Chance that a pair just at the threshold shares no prefix in any tree.
@@ -177,16 +177,16 @@ def _confirmed(pairs: DataFrame, size: int, percent: int) -> DataFrame:
     """Pairs (a, b, text_a, text_b) whose full sets reach the threshold."""
 
     def mapper(batches):
-        for batch in batches:
-            one, bounds_one = shingle_sets(batch.column("text_a"), size)
-            two, bounds_two = shingle_sets(batch.column("text_b"), size)
-            linked = np.zeros(batch.num_rows, bool)
-            for i in range(batch.num_rows):
+        for run in (y for batch in batches for x in runs(batch, "text_a") for y in runs(x, "text_b")):
+            one, bounds_one = shingle_sets(run.column("text_a"), size)
+            two, bounds_two = shingle_sets(run.column("text_b"), size)
+            linked = np.zeros(run.num_rows, bool)
+            for i in range(run.num_rows):
                 a = one[bounds_one[i] : bounds_one[i + 1]]
                 b = two[bounds_two[i] : bounds_two[i + 1]]
                 both = len(np.intersect1d(a, b, assume_unique=True))
                 linked[i] = both > 0 and 100 * both >= percent * (len(a) + len(b) - both)
-            yield batch.select(["a", "b"]).filter(pa.array(linked))
+            yield run.select(["a", "b"]).filter(pa.array(linked))
 
     return pairs.mapInArrow(mapper, "a long, b long")
 
