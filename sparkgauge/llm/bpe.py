@@ -15,6 +15,7 @@ import unicodedata
 from typing import NamedTuple
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 from sparkgauge.llm.bytewords import flat, span_hashes
 from sparkgauge.llm.shared import runs
 
+#: Vocabulary file by default; `load` takes any other of the same kind.
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 #: Larger runs share more words, which are encoded once per run.
 ENCODE_BYTES = 4 << 20
 LETTER, NUMBER, OTHER, BLANK, EDGE = range(5)

@@ -3,7 +3,8 @@
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkgauge.llm.shared import is_empty, stage
@@ -76,29 +77,53 @@ def _pairs(frame: DataFrame) -> DataFrame:
 
 def _labelled(members: DataFrame, edges: DataFrame) -> DataFrame:
     labels = stage(components(edges), "labels").select(F.col("node").alias("id"), "component")
+    columns = [F.col(c) for c in members.columns]
     return stage(
         members.join(labels, "id", "left").select(
-            "bucket", "id", F.coalesce("component", "id").alias("label")
+            *columns, F.coalesce("component", "id").alias("label")
         ),
         "labelled",
     )
 
 
+def inner_pairs(members: DataFrame, condition: Column | None = None) -> DataFrame:
+    """Pairs (a, b), a < b, of ids in one bucket. The other columns of `members` are there
+    under their names with _a and _b for `condition`, which the join itself tests."""
+    sides = [
+        members.select(
+            F.col("bucket").alias(f"bucket_{x}"),
+            F.col("id").alias(x),
+            *[F.col(c).alias(f"{c}_{x}") for c in members.columns if c not in ("bucket", "id")],
+        )
+        for x in "ab"
+    ]
+    on = (F.col("bucket_a") == F.col("bucket_b")) & (F.col("a") < F.col("b"))
+    on = on if condition is None else on & condition
+    return sides[0].join(sides[1], on).select("a", "b")
+
+
+def to_first(members: DataFrame) -> DataFrame:
+    """Pairs of every id with the smallest of its bucket."""
+    first = stage(members.groupBy("bucket").agg(F.min("id").alias("a")), "first_ids")
+    return members.select("bucket", F.col("id").alias("b")).join(first, "bucket").select("a", "b")
+
+
 def bucket_links(
     members: DataFrame,
     verify: Callable[[DataFrame], DataFrame],
+    near: Callable[[DataFrame], DataFrame],
+    rest: Callable[[DataFrame], DataFrame],
+    condition: Column | None = None,
     small: int = 16,
-    near: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Confirmed links (a, b) that connect all that is connected inside the buckets.
 
-    `members` is (bucket, id); `verify` keeps the pairs (a, b) that are really linked.
-    Buckets of up to `small` ids have all their pairs verified. In a larger one, which mostly
-    holds one family of near copies, a pair inside an already connected part adds nothing:
-    the pairs that `near` gives for its (bucket, id) rows come first, then, per bucket, the
-    ids outside its main component against one id of that component and one of their own; what
-    is still apart after that is verified in full against all ids with another label. So no
-    component is missed and a bucket's pairs are written out only where it falls apart.
+    `members` is (bucket, id, ...); `verify` keeps the pairs (a, b) that are really linked.
+    Buckets of up to `small` ids have all their pairs verified. A larger one mostly holds a
+    family of near copies, where a pair inside an already connected part adds nothing: a few
+    pairs per id, which `near` picks, come first. Then the ids get the label of the part that
+    they are connected to, and `rest` has to give every pair of ids with different labels that
+    may still be linked. So no component is missed, and a family's pairs are never written out.
     """
     members = stage(members, "members")
     sizes = (
@@ -107,59 +132,86 @@ def bucket_links(
         .where("n > 1")
     )
     sizes = stage(sizes, "bucket_sizes")
-    twos = sizes.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
     few = stage(
-        members.join(sizes.where(f"n > 2 and n <= {small}").select("bucket"), "bucket"), "few"
+        members.join(sizes.where(f"n <= {small}").select("bucket"), "bucket"), "few"
     )
-    inside = few.select("bucket", F.col("id").alias("a")).join(
-        few.select("bucket", F.col("id").alias("b")), "bucket"
-    )
-    candidates = twos.unionByName(inside.where("a < b").select("a", "b"))
     crowd = stage(
-        members.join(sizes.where(f"n > {small}").select("bucket"), "bucket"), "crowded"
+        members.join(sizes.where(f"n > {small}").select("bucket"), "bucket"), "crowd"
     )
+    candidates = inner_pairs(few, condition)
     crowded = not is_empty(crowd)
-    if crowded and near is not None:
+    if crowded:
         candidates = candidates.unionByName(near(crowd).select("a", "b"))
     tried = stage(_pairs(candidates).distinct(), "candidates")
     edges = stage(verify(tried), "links")
     if not crowded:
         return edges
-    for last in (False, False, True):
-        labelled = _labelled(crowd, edges)
-        by_label = labelled.groupBy("bucket", "label").agg(
-            F.count(F.lit(1)).alias("n"), F.min("id").alias("first")
-        )
-        main = stage(
-            by_label.groupBy("bucket").agg(
-                F.max_by(F.struct("label", "first"), F.struct("n", "first")).alias("main"),
-                F.count(F.lit(1)).alias("labels"),
-            ),
-            "main_parts",
-        ).where("labels > 1")
-        apart = stage(
-            labelled.join(main, "bucket").where("label <> main.label"), "apart"
-        )
-        if is_empty(apart):
-            return edges
-        if last:
-            other = labelled.select("bucket", F.col("id").alias("b"), F.col("label").alias("l"))
-            more = (
-                apart.select("bucket", F.col("id").alias("a"), "label")
-                .join(other, "bucket")
-                .where("label <> l")
-            )
-        else:
-            own = apart.groupBy("bucket").agg(F.min("id").alias("b"))
-            to_main = apart.select(F.col("id").alias("a"), F.col("main.first").alias("b"))
-            to_own = apart.select("bucket", F.col("id").alias("a")).join(stage(own, "own"), "bucket")
-            more = to_main.unionByName(to_own.select("a", "b"))
-        fresh = stage(
-            _pairs(more.select("a", "b")).distinct().join(tried, ["a", "b"], "left_anti"), "fresh"
+    fresh = _pairs(rest(_labelled(crowd, edges)).select("a", "b")).distinct()
+    fresh = stage(fresh.join(tried, ["a", "b"], "left_anti"), "fresh")
+    if is_empty(fresh):
+        return edges
+    return stage(edges.unionByName(verify(fresh)), "links")
+
+
+def deal(rows: DataFrame, size: int) -> DataFrame:
+    """Add (block, left) to rows with (bucket, id): a bucket beyond `size` rows becomes pairs of
+    blocks (i <= j), and a row of block i goes to each pair with i. `left` tells the side, null
+    where the pair is a block with itself: all pairs of rows meet exactly once."""
+    counts = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    large = stage(
+        counts.where(F.col("n") > size).select(
+            "bucket", F.ceil(F.col("n") / size).cast("long").alias("s")
+        ),
+        "large_buckets",
+    )
+    own = F.pmod(F.xxhash64("id"), F.col("s"))
+    others = F.sequence(F.lit(0).cast("long"), F.coalesce("s", F.lit(1)) - 1)
+    return (
+        rows.join(large, "bucket", "left")
+        .withColumn("i", F.coalesce(own, F.lit(0)))
+        .withColumn("j", F.explode(others))
+        .select(
+            *rows.columns,
+            F.xxhash64("bucket", F.least("i", "j"), F.greatest("i", "j")).alias("block"),
+            F.when(F.col("i") != F.col("j"), F.col("i") < F.col("j")).alias("left"),
         )
-        edges = stage(edges.unionByName(verify(fresh)), "links")
-        tried = tried.unionByName(fresh)
-    return edges
+    )
+
+
+def block_sides(group: pa.Table) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Row numbers on both sides of a block pair, and whether they are the same rows."""
+    left = group.column("left")
+    if left.null_count:
+        every = np.arange(group.num_rows)
+        return every, every, True
+    side = left.to_numpy()
+    return np.flatnonzero(side), np.flatnonzero(~side), False
+
+
+def map_blocks(
+    rows: DataFrame, work: Callable[[pa.Table], pa.RecordBatch | None], schema: str
+) -> DataFrame:
+    """Apply `work` to the rows of each `block`, which `deal` keeps small."""
+
+    def mapper(batches):
+        rest = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            if rest is not None:
+                table = pa.concat_tables([rest, table]).combine_chunks()
+            key = table.column("block").to_numpy()
+            if not len(key):
+                continue
+            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            for start, end in zip(starts[:-1], starts[1:], strict=True):
+                if end - start > 1 and (out := work(table.slice(start, end - start))) is not None:
+                    yield out
+            rest = table.slice(starts[-1])
+        if rest is not None and rest.num_rows > 1 and (out := work(rest)) is not None:
+            yield out
+
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(mapper, schema)
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

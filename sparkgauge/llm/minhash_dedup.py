@@ -3,8 +3,8 @@
 Every tree of the forest sorts the signatures from a place of its own. Texts with a common
 prefix of `DEPTH` hashes in some tree are candidates. Where a prefix is shared by many (a
 family of near copies, a common passage), the tree goes as much deeper as that region needs,
-and neighbours in its sorted order, which share the longest prefixes, are compared first.
-Candidates pass an estimate on the signatures and are then confirmed on the full sets.
+and neighbours in its sorted order, which share the longest prefixes, are compared first; what these
+leave apart is compared signature by signature in blocks. Candidates pass an estimate on the signatures and are then confirmed on the full sets.
 
 Texts with equal sets are one class from the start. Null or empty texts have an empty set and
 link with nothing. Rows without an id link with nothing either: null component, kept. Rows
@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkgauge.llm.bytewords import NOT_BLANK, mix, words
-from sparkgauge.llm.components import bucket_links, components
-from sparkgauge.llm.shared import map_texts, rows_of, runs, stage
+from sparkgauge.llm.components import block_sides, bucket_links, components, deal, map_blocks
+from sparkgauge.llm.shared import is_empty, map_texts, rows_of, runs, stage, without
 
 DEPTH = 4
 #: Chance that a pair just at the threshold shares no prefix in any tree.
@@ -29,6 +29,8 @@ MISS = 1e-6
 MARGIN = 4.5
 #: Rows of a region that one task sorts; larger ones are cut at deeper prefixes.
 REGION = 2000
+#: Signatures per side that are compared with each other in memory.
+BLOCK = 512
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -209,6 +211,38 @@ def _likely(pairs: DataFrame, least: float) -> DataFrame:
     return pairs.mapInArrow(mapper, "a long, b long")
 
 
+def _apart(labelled: DataFrame, classes: DataFrame, least: float) -> DataFrame:
+    """Pairs with different labels in a crowded bucket whose signatures are near.
+
+    Signatures are compared block by block inside tasks; a pair is given out in the first tree
+    in which both share a prefix, so only likely pairs are ever rows.
+    """
+
+    def work(group: pa.Table) -> pa.RecordBatch | None:
+        one, two, same = block_sides(group)
+        label = group.column("label").to_numpy()
+        if (label == label[0]).all():
+            return None
+        raw = b"".join(group.column("sig").to_pylist())
+        sig = np.frombuffer(raw, ">u4").reshape(group.num_rows, -1).astype(np.uint32)
+        hashes = sig.shape[1]
+        agree = np.zeros((len(one), len(two)), np.uint16)
+        for h in range(hashes):
+            agree += sig[one, h][:, None] == sig[two, h][None, :]
+        near = (agree >= least * hashes) & (label[one][:, None] != label[two][None, :])
+        a, b = np.nonzero(np.triu(near, 1) if same else near)
+        a, b = one[a], two[b]
+        equal = sig[a] == sig[b]
+        new = np.ones(len(a), bool)
+        for tree in range(int(group.column("bucket")[0].as_py()) & 0xFF):
+            new &= ~equal[:, tree * DEPTH : (tree + 1) * DEPTH].all(axis=1)
+        ids = group.column("id").to_numpy()
+        return pa.RecordBatch.from_arrays([pa.array(ids[a[new]]), pa.array(ids[b[new]])], ["a", "b"])
+
+    rows = deal(labelled, BLOCK).join(classes.select("id", "sig"), "id")
+    return map_blocks(rows, work, "a long, b long")
+
+
 def _ids(pairs: DataFrame, name: str) -> DataFrame:
     return pairs.select(F.explode(F.array("a", "b")).alias(name)).distinct()
 
@@ -247,7 +281,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         return _confirmed(both, size, percent)
 
     links = bucket_links(
-        _buckets(classes, trees), verify, near=lambda crowd: _neighbours(crowd, classes, hashes)
+        _buckets(classes, trees),
+        verify,
+        near=lambda crowd: _neighbours(crowd, classes, hashes),
+        rest=lambda labelled: _apart(labelled, classes, least),
     )
     found = components(links).select(F.col("node").alias("id"), "component")
     labels = stage(
@@ -267,3 +304,24 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     )
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
     return linked.unionByName(alone).withColumn("kept", kept)
+
+
+def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """`docs` with its columns, one document of every group of near duplicates.
+
+    Of rows that repeat an id the least stays; rows without an id all stay.
+    """
+    marked = stage(near_duplicates(docs, size, percent), "marked")
+    gone = stage(marked.where("not kept").select("doc_id").distinct(), "gone")
+    kept = without(docs, gone, "doc_id")
+    twice = stage(
+        marked.where("kept and doc_id is not null")
+        .groupBy("doc_id").count().where("count > 1").select("doc_id"),
+        "repeated_ids",
+    )
+    if is_empty(twice):
+        return kept
+    least = rows_of(kept, twice, "doc_id").groupBy(F.col("doc_id").alias("_id")).agg(
+        F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("_row")
+    )
+    return without(kept, twice, "doc_id").unionByName(least.select("_row.*"))

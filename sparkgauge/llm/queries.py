@@ -2,25 +2,40 @@
 
 from collections.abc import Callable
 
-import public_tokenizers
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkgauge.llm import bpe, line_dedup, minhash_dedup, toxicity
+from sparkgauge.llm import (
+    bpe,
+    decontamination,
+    embedding_dedup,
+    line_dedup,
+    minhash_dedup,
+    toxicity,
+)
 from sparkgauge.llm.shared import read
 
-TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
-
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.repeated_lines(read(spark, sf_dir, "documents"))
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(read(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(
+        read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
+    )
+
+
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(read(spark, sf_dir, "documents"), size=3, percent=85)
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = bpe.load(TOKENIZER)
+    model = bpe.load(bpe.TOKENIZER)
     return bpe.digests(bpe.encode_decode(read(spark, sf_dir, "documents"), model))
 
 
@@ -30,12 +45,19 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
+        "op2_embedding_dedup": op2_embedding_dedup,
+        "op4_decontamination": op4_decontamination,
         "op5_minhash_dedup": op5_minhash_dedup,
         "op8_bpe": op8_bpe,
         "op10_toxicity": op10_toxicity,
+        "pipeline": pipeline,
     }
 
 

@@ -62,9 +62,10 @@ def rows_of(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return df.join(F.broadcast(ids) if small else ids, key, "left_semi")
 
 
-def with_defaults(df: DataFrame, columns: dict[str, str]) -> DataFrame:
-    """The named columns with the wanted types, in this order; other columns are left out."""
-    return df.select(*[F.col(f"`{c}`").cast(kind).alias(c) for c, kind in columns.items()])
+def without(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows of `df` whose `key` is not among the distinct `ids`; nulls stay."""
+    small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return df.join(F.broadcast(ids) if small else ids, key, "left_anti")
 
 
 def read(spark, sf_dir: str, table: str) -> DataFrame:

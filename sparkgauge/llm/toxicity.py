@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkgauge.llm.bytewords import LOWER, byte_class, flat, mix, per_text, span_hashes, spans
 from sparkgauge.llm.shared import map_texts, rows_of, runs, stage
@@ -318,9 +319,11 @@ def fit(docs: DataFrame, labels: DataFrame, fold: int = 5) -> Model:
     return Model(chars, features, weights, slope, intercept)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, restored, score) per row of `docs`: the restored text and its toxicity."""
+def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The `keep` columns, then restored_text and toxic_score, per row of `docs`; no shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    added = "restored_text string, toxic_score double"
+    kept = [f"_{i}" for i in range(len(keep))]
 
     def mapper(batches):
         cache: dict[str, str] = {}
@@ -331,19 +334,32 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 x = np.log1p(evidence(texts, m.features, m.weights))
                 p = 1 / (1 + np.exp(-np.clip(m.slope * x + m.intercept, -700, 700)))
                 yield pa.RecordBatch.from_arrays(
-                    [run.column("doc_id"), texts, pa.array(p)], ["doc_id", "restored", "score"]
+                    [*[run.column(c) for c in kept], texts, pa.array(p)],
+                    [*kept, "restored_text", "toxic_score"],
                 )
 
-    picked = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return picked.mapInArrow(mapper, "doc_id long, restored string, score double")
+    picked = docs.select(
+        *[F.col(f"`{c}`").alias(k) for c, k in zip(keep, kept, strict=True)],
+        F.col("text").cast("string").alias("text"),
+    )
+    schema = T.StructType([*picked.schema.fields[:-1], *T.StructType.fromDDL(added).fields])
+    out = picked.mapInArrow(mapper, schema)
+    names = [F.col(k).alias(c) for c, k in zip(keep, kept, strict=True)]
+    return out.select(*names, "restored_text", "toxic_score")
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, fold: int = 5, cut: float = 0.5) -> DataFrame:
+    """`docs` with its columns, minus the documents that score at least `cut`."""
+    scored = score(docs, fit(docs, labels, fold), tuple(docs.columns))
+    return scored.where(F.col("toxic_score") < cut).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def predictions(docs: DataFrame, labels: DataFrame, fold: int = 5, cut: float = 0.5) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every document."""
     held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(fold)) == 0
     return score(docs, fit(docs, labels, fold)).select(
-        "doc_id",
+        F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(held_out, F.lit(False)).alias("held_out"),
-        "score",
-        (F.col("score") >= cut).cast("int").alias("predicted"),
+        F.col("toxic_score").alias("score"),
+        (F.col("toxic_score") >= cut).cast("int").alias("predicted"),
     )
