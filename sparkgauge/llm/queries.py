@@ -9,9 +9,13 @@ from sparkgauge.llm import (
     bpe,
     decontamination,
     embedding_dedup,
+    language_id,
+    license_scan,
     line_dedup,
     minhash_dedup,
+    quality_fm,
     toxicity,
+    warc_writer,
 )
 from sparkgauge.llm.shared import read
 
@@ -24,6 +28,10 @@ def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(read(spark, sf_dir, "embeddings"), threshold=0.9)
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.predictions(read(spark, sf_dir, "documents"), fold=4, held=2)
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(
         read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
@@ -34,11 +42,25 @@ def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(read(spark, sf_dir, "documents"), size=3, percent=85)
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_writer.round_trip(read(spark, sf_dir, "pages"), least_revisit=0)
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.summary(license_scan.scan(read(spark, sf_dir, "documents")))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = bpe.load(bpe.TOKENIZER)
     return bpe.digests(bpe.encode_decode(read(spark, sf_dir, "documents"), model))
 
 
+def op9_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_fm.predictions(
+        read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), fold=5, cut=0.3
+    )
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predictions(
         read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), fold=5, cut=0.5
@@ -53,9 +75,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
         "op2_embedding_dedup": op2_embedding_dedup,
+        "op3_language_id": op3_language_id,
         "op4_decontamination": op4_decontamination,
         "op5_minhash_dedup": op5_minhash_dedup,
+        "op6_warc": op6_warc,
+        "op7_license_scan": op7_license_scan,
         "op8_bpe": op8_bpe,
+        "op9_quality_fm": op9_quality_fm,
         "op10_toxicity": op10_toxicity,
         "pipeline": pipeline,
     }

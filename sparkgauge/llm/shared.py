@@ -1,6 +1,10 @@
 """What the operators share: tables in the shared folder, Arrow batches of bounded size."""
 
+import functools
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -68,5 +72,21 @@ def without(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return df.join(F.broadcast(ids) if small else ids, key, "left_anti")
 
 
+@functools.lru_cache(4)
+def _ship(application: str) -> str:
+    """Zip of the library, for the Python workers of one application."""
+    root = Path(__file__).resolve().parents[2]
+    path = Path(tempfile.mkdtemp(prefix="package-")) / "sparkgauge_package.zip"
+    with zipfile.ZipFile(path, "w") as out:
+        for file in sorted((root / "sparkgauge").rglob("*.py")):
+            out.write(file, file.relative_to(root))
+    return str(path)
+
+
 def read(spark, sf_dir: str, table: str) -> DataFrame:
+    """A table of the data folder. Python workers get this library through Spark's own file
+    distribution, so that it need not be installed on them."""
+    context = spark.sparkContext
+    if not any(f.endswith("sparkgauge_package.zip") for f in context.listFiles):
+        context.addPyFile(_ship(context.applicationId))
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
