@@ -95,9 +95,8 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
 
 
-def fit_sample(texts: pa.Array, y: np.ndarray, share: float) -> Model:
-    """Fit on a sample in memory, weighted as if `share` of it had the label 1."""
-    owner, bucket, value, dense = features(texts)
+def fit_sample(owner, bucket, value, dense, y: np.ndarray, share: float) -> Model:
+    """Fit on the features of a sample, weighted as if `share` of it had the label 1."""
     mean, spread = dense.mean(0), dense.std(0) + 1e-6
     draw = np.random.default_rng(9)
     params = {
@@ -134,10 +133,36 @@ def fit_sample(texts: pa.Array, y: np.ndarray, share: float) -> Model:
 def fit(docs: DataFrame, labels: DataFrame, fold: int = 5) -> Model:
     rows = stage(learning_rows(labels, "quality", fold), "quality_rows")
     share = rows.agg(F.avg("y")).first()[0]
-    sample = labelled_sample(docs, rows, ONES, ZEROS).orderBy("doc_id", "text").toArrow()
-    y = sample.column("y").to_numpy().astype(float)
+    sample = labelled_sample(docs, rows, ONES, ZEROS)
+
+    def work(run: pa.RecordBatch) -> pa.RecordBatch:
+        owner, bucket, value, dense = features(run.column("text"))
+        starts = pa.array(np.searchsorted(owner, np.arange(run.num_rows + 1)), pa.int32())
+        return pa.RecordBatch.from_arrays(
+            [
+                run.column("doc_id"),
+                run.column("y"),
+                pa.ListArray.from_arrays(starts, pa.array(bucket, pa.int32())),
+                pa.ListArray.from_arrays(starts, pa.array(value)),
+                pa.array(dense.tolist(), pa.list_(pa.float64())),
+            ],
+            ["doc_id", "y", "bucket", "value", "dense"],
+        )
+
+    # At most ONES + ZEROS rows of at most BUCKETS entries.
+    kept = map_texts(
+        sample.select("doc_id", "y", "text"),
+        work,
+        "doc_id long, y int, bucket array<int>, value array<double>, dense array<double>",
+    )
+    table = kept.orderBy("doc_id", "dense").toArrow()
+    y = table.column("y").to_numpy().astype(float)
     if len(y) and 0 < y.mean() < 1:
-        return fit_sample(sample.column("text").combine_chunks(), y, share)
+        buckets = table.column("bucket").combine_chunks()
+        owner = np.repeat(np.arange(len(y)), buckets.value_lengths().to_numpy())
+        value = table.column("value").combine_chunks().flatten().to_numpy()
+        dense = np.array(table.column("dense").to_pylist())
+        return fit_sample(owner, buckets.flatten().to_numpy(), value, dense, y, share)
     odds = np.clip(share or 0.0, 1e-9, 1 - 1e-9)
     none = np.zeros(BUCKETS + STATISTICS)
     bias = float(np.log(odds / (1 - odds)))
