@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkgauge.operators.joins import SALTS, salted_join
+from sparkgauge.operators.joins import salted_join
 from sparkgauge.operators.ordered import row_numbers
 
 JOB = ["app_id", "job_id"]
@@ -17,7 +17,7 @@ def _gate(job_stages: DataFrame) -> tuple[DataFrame, Column]:
     return starts, F.col("l.pos") > F.col("r.job_pos")
 
 
-def attach_jobs(tasks: DataFrame, job_stages: DataFrame, salts: int = SALTS) -> DataFrame:
+def attach_jobs(tasks: DataFrame, job_stages: DataFrame, salts: int | None = None) -> DataFrame:
     """Every (job, task) pair: the job lists the task's stage and started before it in the log.
 
     A task of a shared stage appears once per such job.
@@ -28,7 +28,7 @@ def attach_jobs(tasks: DataFrame, job_stages: DataFrame, salts: int = SALTS) ->
     ).drop("job_pos")
 
 
-def orphan_tasks(tasks: DataFrame, job_stages: DataFrame, salts: int = SALTS) -> DataFrame:
+def orphan_tasks(tasks: DataFrame, job_stages: DataFrame, salts: int | None = None) -> DataFrame:
     """Tasks that no started job lists: the quarantine."""
     starts, gate = _gate(job_stages)
     return salted_join(

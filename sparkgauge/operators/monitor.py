@@ -12,7 +12,7 @@ from sparkgauge.constants import (
 )
 from sparkgauge.functions.units import last_path_part
 from sparkgauge.operators.joins import salted_join
-from sparkgauge.operators.ordered import PIECES, Running, ordered_scan
+from sparkgauge.operators.ordered import Running, ordered_scan
 from sparkgauge.operators.tasks import merge_maps
 from sparkgauge.schemas import MONITOR_DISK
 
@@ -127,7 +127,7 @@ def monitor_disks(samples: DataFrame) -> DataFrame:
 
 
 def started_deltas(
-    ticks: DataFrame, order: list[str] | None = None, cut_on: str | None = None, pieces: int = PIECES
+    ticks: DataFrame, order: list[str] | None = None, cut_on: str | None = None, pieces: int | None = None
 ) -> DataFrame:
     """(host, time, delta): tasks started since the highest count so far, where more than 0."""
     order = order or ["pos"]

@@ -1,11 +1,11 @@
 """Order-dependent operators that never put a whole group into one task.
 
 A running sum, a rank or an exact percentile over a group is usually a window partitioned by
-the group, so one group is one task. Here the rows of a group are first split into
-consecutive *pieces* by cut points on the leading order column. The cuts are approximate
-quantiles over all rows, so a piece holds about 1/pieces of the data no matter how the rows
-spread over groups. Each piece is scanned on its own; what the earlier pieces contribute
-comes from one small row per piece.
+the group, so one group is one task. Here the rows are first split into consecutive *pieces*:
+ranges of the leading order column over all rows, so a piece holds about 1/pieces of the data
+no matter how the rows spread over groups. The rows are written once with their piece number.
+Each piece is scanned on its own; what the earlier pieces contribute comes from one small row
+per piece.
 """
 
 from typing import NamedTuple
@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from sparkgauge.session import materialize
 
-PIECES = 64
 PIECE = "_piece"
 
 
@@ -36,27 +35,20 @@ class Scan(NamedTuple):
     pieces: DataFrame
 
 
-def add_piece(df: DataFrame, cut_on: str, pieces: int = PIECES, cut_by: str | None = None):
-    """Add the piece number of each row: how many cuts lie below its value.
+def add_piece(
+    df: DataFrame, cut_on: str, pieces: int | None = None, cut_by: str | None = None
+) -> DataFrame:
+    """`df` as a table with the piece number of each row.
 
-    `cut_by` names a column with a fixed small set of values (a measure name) that gets its
-    own cuts. The cuts are a scalar subquery of `pieces - 1` numbers per such value.
+    Pieces are ranges of `cut_on`, as many as the session's shuffle partitions if `pieces` is
+    not given; equal values share a piece. `cut_by` names a column (a measure name) whose values
+    get ranges of their own. Where the limits fall affects balance only, never results, but the
+    number must not change between reads, so the table is written.
     """
-    if pieces <= 1:
-        return df.withColumn(PIECE, F.lit(0))
-    probs = [i / pieces for i in range(1, pieces)]
-    cuts_of = F.percentile_approx(cut_on, probs, 50 * pieces)
-    if cut_by is None:
-        cuts = df.agg(cuts_of.alias("cuts")).scalar()
-    else:
-        by_value = df.groupBy(cut_by).agg(cuts_of.alias("cuts"))
-        cuts = by_value.agg(
-            F.map_from_entries(F.collect_list(F.struct(cut_by, "cuts"))).alias("cuts")
-        ).scalar()
-        cuts = F.try_element_at(cuts, F.col(cut_by))
-    below = F.size(F.filter("_cuts", lambda cut: cut < F.col(cut_on)))
-    return (
-        df.withColumn("_cuts", cuts).withColumn(PIECE, F.coalesce(below, F.lit(0))).drop("_cuts")
+    pieces = pieces or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by = [cut_on] if cut_by is None else [cut_by, cut_on]
+    return materialize(
+        df.repartitionByRange(pieces, *by).withColumn(PIECE, F.spark_partition_id()), "pieces"
     )
 
 
@@ -94,7 +86,7 @@ def ordered_scan(
     keys: list[str],
     order: list[str],
     running: dict[str, Running],
-    pieces: int = PIECES,
+    pieces: int | None = None,
     cut_on: str | None = None,
     cut_by: str | None = None,
     staged: bool = True,
@@ -102,16 +94,13 @@ def ordered_scan(
     """Running values per group in `order` (ascending), scanned piece by piece.
 
     `cut_on` must grow with `order`; by default it is the leading order column. A frame that
-    already has a piece column (for example the log split a line came from) keeps it.
-
-    The input is read three times: for the cuts, the piece sums and the scan itself. `staged`
-    writes it to the shared folder first, so what produced it runs once; turn it off for a
-    frame that is a plain table already.
+    already has a piece column (for example the log split a line came from) keeps it; it is read
+    twice and `staged` as a table first, unless it is one already.
     """
-    if staged:
-        df = materialize(df, "ordered")
     if PIECE not in df.columns:
         df = add_piece(df, cut_on or order[0], pieces, cut_by)
+    elif staged:
+        df = materialize(df, "ordered")
     piece_keys = [*keys, PIECE]
     order_struct = F.struct(*order)
     sums = df.groupBy(*piece_keys).agg(
@@ -174,7 +163,7 @@ def distinct_ranks(
     keys: list[str],
     value: str,
     weight: str | None = None,
-    pieces: int = PIECES,
+    pieces: int | None = None,
     cut_by: str | None = None,
 ) -> Scan:
     """Equal (value, weight) rows folded to one with count `n`, ranked inside each group.

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkgauge.constants import SUMMARY_PERCENTILES, WEIGHTED_PERCENTILES
-from sparkgauge.operators.ordered import PIECES, distinct_ranks, pick_ranks
+from sparkgauge.operators.ordered import distinct_ranks, pick_ranks
 
 
 def percentile_name(percentile: float) -> str:
@@ -16,7 +16,7 @@ def summary(
     keys: list[str],
     value: str,
     percentiles=SUMMARY_PERCENTILES,
-    pieces: int = PIECES,
+    pieces: int | None = None,
     cut_by: str | None = None,
 ) -> DataFrame:
     """n, min, max and exact linearly interpolated percentiles per group.
@@ -57,7 +57,7 @@ def summary(
 
 
 def summaries(
-    df: DataFrame, keys: list[str], values: list[str], percentiles=(50,), pieces: int = PIECES
+    df: DataFrame, keys: list[str], values: list[str], percentiles=(50,), pieces: int | None = None
 ) -> DataFrame:
     """`summary` of several columns at once, one row per (keys, metric)."""
     long = df.select(
@@ -75,7 +75,7 @@ def summaries(
 
 
 def summaries_wide(
-    df: DataFrame, keys: list[str], values: list[str], pieces: int = PIECES
+    df: DataFrame, keys: list[str], values: list[str], pieces: int | None = None
 ) -> DataFrame:
     """Min, median and max of several columns, one row per group: <value>_min, _med, _max."""
     long = summaries(df, keys, values, (50,), pieces)
@@ -95,7 +95,7 @@ def weighted_percentiles(
     weight: str = "weight",
     rule: str = "reference",
     percentiles=WEIGHTED_PERCENTILES,
-    pieces: int = PIECES,
+    pieces: int | None = None,
     cut_by: str | None = None,
 ) -> DataFrame:
     """Percentiles of `value` with each row weighted by `weight` (integer), and the mean.
@@ -173,7 +173,7 @@ def weighted_percentiles(
 CHUNK = 10000
 
 
-def cdf(df: DataFrame, keys: list[str], value: str, pieces: int = PIECES) -> DataFrame:
+def cdf(df: DataFrame, keys: list[str], value: str, pieces: int | None = None) -> DataFrame:
     """Every row of the sorted values with its 0-based index inside the group.
 
     Equal values are ranked once and given back as index ranges, in chunks that are dealt out

@@ -4,7 +4,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkgauge.constants import CORES_PER_EXECUTOR, LINK_BYTES_PER_SECOND, UTILIZATION_DISKS
-from sparkgauge.operators.ordered import PIECES
 from sparkgauge.operators.stats import weighted_percentiles
 
 
@@ -49,7 +48,7 @@ def utilization_pairs(
     ).select("app_id", "e.measure", "e.value", "weight")
 
 
-def utilizations(job_tasks: DataFrame, rule: str = "reference", pieces: int = PIECES) -> DataFrame:
+def utilizations(job_tasks: DataFrame, rule: str = "reference", pieces: int | None = None) -> DataFrame:
     """Weighted percentiles and mean of every measure; a measure without rows has no row."""
     return weighted_percentiles(
         utilization_pairs(job_tasks), ["app_id", "measure"], rule=rule, pieces=pieces, cut_by="measure"

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkgauge.operators.joins import salted_join
-from sparkgauge.operators.ordered import PIECE, PIECES, Running, ordered_scan, row_numbers
+from sparkgauge.operators.ordered import PIECE, Running, ordered_scan, row_numbers
 from sparkgauge.sources.event_log import file_position
 
 NETWORK, COMPUTE = 1, 2
@@ -24,8 +24,9 @@ def read_work_lines(spark: SparkSession, paths) -> DataFrame:
 def parse_work_lines(lines: DataFrame, offset: int = 0) -> DataFrame:
     """(file, pos, kind, id, stage_id, start_ms, runtime_ms) of every line; kind NULL = neither.
 
-    `offset` shifts the fields when the log carries extra leading ones. The last three
-    characters of the start are dropped.
+    `offset` shifts the fields when the log carries extra leading ones. The start loses its
+    last three characters; where it ends the line, the line feed is one of them, so two that
+    can be seen.
     """
     items = F.split("value", " ")
 
@@ -33,6 +34,7 @@ def parse_work_lines(lines: DataFrame, offset: int = 0) -> DataFrame:
         return F.try_element_at(items, F.lit(offset + position + 1))
 
     start = field(START_FIELD)
+    cut = F.when(F.size(items) == offset + START_FIELD + 1, 2).otherwise(3)
     value = F.col("value")
     kind = F.when(value.contains("network") & ~value.contains("NetworkResponse"), NETWORK).when(
         value.contains("compute"), COMPUTE
@@ -44,7 +46,7 @@ def parse_work_lines(lines: DataFrame, offset: int = 0) -> DataFrame:
         kind.alias("kind"),
         field(TASK_FIELD).try_cast("bigint").alias("task_id"),
         owner.alias("owner"),
-        F.substring(start, F.lit(1), F.greatest(F.length(start) - 3, F.lit(0)))
+        F.substring(start, F.lit(1), F.greatest(F.length(start) - cut, F.lit(0)))
         .try_cast("bigint")
         .alias("start_ms"),
         field(RUNTIME_FIELD).try_cast("bigint").alias("runtime_ms"),
@@ -61,15 +63,25 @@ def parse_work_lines(lines: DataFrame, offset: int = 0) -> DataFrame:
     )
 
 
+def unreadable_work_lines(parsed: DataFrame) -> DataFrame:
+    """Compute and network lines without a readable owner, start or runtime: the quarantine."""
+    return parsed.where(F.col("kind").isNotNull() & ~_readable())
+
+
+def _readable() -> Column:
+    return F.col("id").isNotNull() & F.col("start_ms").isNotNull() & F.col("runtime_ms").isNotNull()
+
+
 def islands(
-    parsed: DataFrame, order: list[str] | None = None, cut_on: str | None = None, pieces: int = PIECES
+    parsed: DataFrame, order: list[str] | None = None, cut_on: str | None = None, pieces: int | None = None
 ) -> DataFrame:
     """Add `island`: a compute line of another stage than the last compute line opens a new one.
 
-    Network lines join the open island; before any compute line the stage is 0.
+    Network lines join the open island; before any compute line the stage is 0. Unreadable
+    lines (`unreadable_work_lines`) get no lane.
     """
     order = order or ["pos"]
-    kept = parsed.where(F.col("kind").isNotNull())
+    kept = parsed.where(F.col("kind").isNotNull() & _readable())
     before = ordered_scan(
         kept, ["file"], order, {"_prev": Running("last", F.col("stage_id"))}, pieces, cut_on
     ).rows
@@ -84,7 +96,7 @@ def islands(
 
 
 def waterfall(
-    parsed: DataFrame, order: list[str] | None = None, cut_on: str | None = None, pieces: int = PIECES
+    parsed: DataFrame, order: list[str] | None = None, cut_on: str | None = None, pieces: int | None = None
 ) -> DataFrame:
     """(file, island, lane, kind, id, start, runtime_ms): lanes ordered by start.
 

@@ -347,7 +347,7 @@ def a14_executor_job_disks(spark, sf_dir):
 
 @query
 def j5_executor_hosts(spark, sf_dir):
-    return rollup.executor_hosts(fixtures.tasks(spark, sf_dir))
+    return rollup.executor_hosts(_job_tasks(spark, sf_dir))
 
 
 # --- distributions -------------------------------------------------------------------------

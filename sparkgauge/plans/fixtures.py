@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkgauge import schemas
 from sparkgauge.operators.tasks import task_columns
-from sparkgauge.session import materialize, spread
+from sparkgauge.session import materialize
 
 # Helper columns over lineitem.
 BASE = {
@@ -98,9 +98,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt out by key to all shuffle partitions, as one row takes long to derive from."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def raw_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One flat row of raw event fields per lineitem row."""
-    lineitem = spread(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey")
+    lineitem = dealt(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey")
     base = lineitem.selectExpr(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
         *[f"{text} AS {name}" for name, text in BASE.items()],
@@ -319,7 +324,7 @@ MONITOR_DISKS = {"xvdb": (3, "/mnt/xvdb"), "sda1": (2, None), "sdc": (5, "/mnt/s
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with the time in epoch millis; a time without zone counts as UTC in any session."""
-    events = spread(table(spark, sf_dir, "events"), "event_id")
+    events = dealt(table(spark, sf_dir, "events"), "event_id")
     instant = "CAST(ts AS TIMESTAMP)"
     if dict(events.dtypes)["ts"] == "timestamp_ntz":
         instant = f"from_utc_timestamp({instant}, current_timezone())"
@@ -384,7 +389,10 @@ def monitor_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- small work units from events ----------------------------------------------------------
 
 def work_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(file, pos, value): text lines, compute and network and others, of slowly changing stages."""
+    """(file, pos, value): text lines, compute and network and others, of slowly changing stages.
+
+    In every second line the start ends the line and has two digits too many, else three.
+    """
     base = _events(spark, sf_dir)
     word = F.expr(
         "CASE WHEN event_type IN ('view', 'click') THEN 'compute' WHEN event_type = 'error' THEN 'network' "
@@ -396,7 +404,8 @@ def work_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     filler[9] = F.col("event_id").cast("string")
     filler[12] = F.concat(owner, F.when(F.col("event_type") == "error", ")").otherwise(")}"))
     filler[15] = F.col("k").cast("string")
-    filler[19] = F.concat(F.col("time_ms").cast("string"), F.lit("123"))
+    last = F.col("event_id") % 2 == 0
+    filler[19] = F.concat(F.col("time_ms").cast("string"), F.when(last, "12").otherwise("123 x"))
     return base.select(
         F.expr("concat('work-', CAST(user_id % 3 AS STRING))").alias("file"),
         F.col("event_id").alias("pos"),

@@ -562,7 +562,7 @@ ph AS (
             *_ED,
             body="SELECT app_id, job_id, executor_id, disk, CAST(sum(elapsed_ms) AS BIGINT) AS elapsed_ms, CAST(sum(bytes_read) AS BIGINT) AS bytes_read, CAST(sum(bytes_written) AS BIGINT) AS bytes_written, CAST(sum(millis_reading) AS BIGINT) AS millis_reading, CAST(sum(millis_writing) AS BIGINT) AS millis_writing, CAST(sum(millis_total) AS BIGINT) AS millis_total, round(sum(millis_total) / nullif(CAST(sum(elapsed_ms) AS DOUBLE), 0), 6) AS utilization, round(CASE WHEN sum(millis_total) = 0 THEN 0 ELSE sum(bytes_read + bytes_written) / CAST(sum(millis_total) AS DOUBLE) * 1000 END, 6) AS effective_Bps FROM ed GROUP BY app_id, job_id, executor_id, disk",
         ),
-        "j5_executor_hosts": _with(_TASKS, body="SELECT app_id, executor_id, last(host ORDER BY pos) AS host FROM tk GROUP BY app_id, executor_id"),
+        "j5_executor_hosts": _with(*_JT, body="SELECT app_id, executor_id, last(host ORDER BY pos) AS host FROM jt GROUP BY app_id, executor_id"),
         "a2_a3_utilization_reference": _with(*_JT, weighted_ref[0], body=weighted_ref[1]),
         "a2_a3_utilization_standard": _with(*_JT, weighted_std[0], body=weighted_std[1]),
         "a2_stage_weighted_runtime": _with(*_JT, weighted_small[0], body=weighted_small[1]),

@@ -189,7 +189,7 @@ def benchmark_lines(trials: DataFrame, keys: list[str]) -> DataFrame:
     )
     # One row per query directory.
     axis = row_numbers(
-        trials.select("query").distinct(), [], ["query"], "_rank", pieces=1, staged=False
+        trials.select("query").distinct(), [], ["query"], "_rank"
     ).select("query", (F.col("_rank") - 1).alias("x"))
     return lines.join(axis, ["query"]).join(broken, keys)
 

@@ -27,15 +27,6 @@ def local_session(cores="*", app_name="sparkgauge", shuffle_partitions=8, extra=
     return spark
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Deal a table of fewer splits than cores out to all of them; leave any other alone.
-
-    A small file of one row group is one task, however much is computed per row.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
-
-
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors see: the one the cluster names in spark.checkpoint.dir.
 

@@ -5,8 +5,10 @@ from pyspark.sql import functions as F
 
 from sparkgauge import schemas
 
-# Row numbers restart in every scan partition, byte offsets in every file.
+# Row numbers restart in every scan partition, byte offsets in every file. A log beyond these
+# limits is an error, never a wrong order.
 FILE_STRIDE = 1 << 40
+SPLIT_ROWS = 1 << 33
 
 
 def file_position(file_number: Column) -> Column:
@@ -16,11 +18,14 @@ def file_position(file_number: Column) -> Column:
     start + row number grows with the line and never reaches the next split. Rolled logs add
     the file number on top. Evaluate directly over the scan, before any filter or shuffle.
     """
-    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    return (
-        file_number * F.lit(FILE_STRIDE)
-        + F.col("_metadata.file_block_start").cast("long")
-        + row
+    # The upper bits hold the number of the scan partition, or one more if the rows overflow.
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit(SPLIT_ROWS - 1))
+    partition = F.shiftright(F.monotonically_increasing_id(), 33)
+    start = F.col("_metadata.file_block_start").cast("long")
+    fits = (start + row < FILE_STRIDE) & (partition == F.spark_partition_id())
+    message = "a log file over 1 TiB or a scan partition over 2^33 lines has no order here"
+    return F.when(fits, file_number * F.lit(FILE_STRIDE) + start + row).otherwise(
+        F.raise_error(F.lit(message)).cast("long")
     )
 
 
@@ -45,6 +50,12 @@ def read_lines(spark: SparkSession, paths, **options) -> DataFrame:
     )
 
 
+def whole(corrupt: Column) -> Column:
+    """True for whole JSON. Spark also keeps the text as corrupt when one field has another
+    type than declared; that field is NULL then and the rest is good, so syntax decides."""
+    return corrupt.isNull() | F.try_parse_json(corrupt).isNotNull()
+
+
 def _decode(lines: DataFrame, event_name: str, schema) -> DataFrame:
     decoded = F.from_json(
         "value", schemas.with_corrupt(schema), {"columnNameOfCorruptRecord": "_corrupt"}
@@ -52,7 +63,7 @@ def _decode(lines: DataFrame, event_name: str, schema) -> DataFrame:
     # A test after the decoding would be pushed below it and decode every line again, so the
     # event is tested inside a one-element array.
     wanted = F.filter(
-        F.array(decoded), lambda e: e["_corrupt"].isNull() & (e["Event"] == event_name)
+        F.array(decoded), lambda e: whole(e["_corrupt"]) & (e["Event"] == event_name)
     )
     # The text test is cheap and drops most lines before any JSON is parsed.
     return lines.where(F.col("value").contains(event_name)).select(
@@ -73,15 +84,30 @@ def job_start_events(lines: DataFrame) -> DataFrame:
     return _decode(lines, "SparkListenerJobStart", schemas.JOB_START)
 
 
+def _probe(lines: DataFrame, schema, test) -> DataFrame:
+    probe = F.from_json(
+        "value", schemas.with_corrupt(schema), {"columnNameOfCorruptRecord": "_corrupt"}
+    )
+    return lines.where(F.exists(F.array(probe), test))
+
+
 def bad_lines(lines: DataFrame) -> DataFrame:
     """Lines that are not a whole JSON object: the quarantine."""
-    probe = F.from_json(
-        "value",
-        schemas.with_corrupt(schemas.fields(("Event", schemas.STRING))),
-        {"columnNameOfCorruptRecord": "_corrupt"},
+    schema = schemas.fields(("Event", schemas.STRING))
+    return _probe(lines, schema, lambda e: e.isNull() | ~whole(e["_corrupt"]))
+
+
+def odd_tasks(lines: DataFrame, schema=schemas.TASK_END) -> DataFrame:
+    """Lines of whole task events in which a field has another type than declared. They are
+    tasks like the others, with NULL in that field."""
+    ended = lines.where(F.col("value").contains("SparkListenerTaskEnd"))
+    return _probe(
+        ended,
+        schema,
+        lambda e: (e["Event"] == "SparkListenerTaskEnd")
+        & e["_corrupt"].isNotNull()
+        & whole(e["_corrupt"]),
     )
-    broken = F.exists(F.array(probe), lambda e: e.isNull() | e["_corrupt"].isNotNull())
-    return lines.where(broken)
 
 
 def bad_line_counts(lines: DataFrame) -> DataFrame:

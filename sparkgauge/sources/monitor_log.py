@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from sparkgauge import schemas
 from sparkgauge.operators.joins import salted_join
 from sparkgauge.session import materialize
-from sparkgauge.sources.event_log import file_position
+from sparkgauge.sources.event_log import file_position, whole
 
 MONITOR_FILES = "*executor_monitor"
 
@@ -22,11 +22,12 @@ def read_monitor_lines(spark: SparkSession, paths, pattern: str = MONITOR_FILES)
 
 
 def decode_samples(lines: DataFrame) -> DataFrame:
-    """(host, pos, sample, ok)."""
+    """(host, pos, sample, ok): ok if the line is whole JSON; a field of another type than
+    declared is NULL."""
     schema = schemas.with_corrupt(schemas.MONITOR_SAMPLE)
     sample = F.from_json("value", schema, {"columnNameOfCorruptRecord": "_corrupt"})
     return lines.select("host", "pos", sample.alias("sample")).withColumn(
-        "ok", F.col("sample").isNotNull() & F.col("sample._corrupt").isNull()
+        "ok", F.col("sample").isNotNull() & whole(F.col("sample._corrupt"))
     )
 
 

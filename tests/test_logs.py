@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sparkgauge.operators import attribution
 from sparkgauge.operators.tasks import tasks_from_events, with_input_size
-from sparkgauge.sources import event_log
+from sparkgauge.sources import event_log, monitor_log
 
 
 def job_start(job, stages, submit=0):
@@ -170,3 +170,31 @@ def test_options_for_stock_logs(spark, tmp_path):
     }
     assert not stock[1]["has_fetch"] and stock[2]["has_fetch"] and stock[1]["compute_ms"] == 3.0
     assert tasks_from_events(events, success_only=True).count() == 1
+
+
+def test_fields_of_another_type_lose_no_event(spark, tmp_path):
+    lines = [
+        f'{{"Event":"SparkListenerTaskEnd","Stage ID":1,"Task Info":{{"Task ID":{i}}},'
+        f'"Task Metrics":{{"JVM GC Time":{gc}}}}}'
+        for i, gc in enumerate(["7", "7.5", '"x"', "8"])
+    ]
+    path = tmp_path / "event_log"
+    path.write_text("\n".join([*lines, lines[0][:60]]) + "\n")
+    read = event_log.read_lines(spark, str(path))
+    events = event_log.task_end_events(read).select("event.*").orderBy("Task Info.Task ID").collect()
+    assert [e["Task Info"]["Task ID"] for e in events] == [0, 1, 2, 3]
+    assert [e["Task Metrics"]["JVM GC Time"] for e in events] == [7, None, None, 8]
+    assert event_log.odd_tasks(read).count() == 2
+    assert event_log.bad_lines(read).count() == 1
+
+
+def test_a_tick_with_an_odd_field_does_not_end_its_file(spark, tmp_path):
+    lines = [
+        f'{{"Current Time":{i},"Outstanding Network Bytes":{n}}}'
+        for i, n in enumerate(["1", "2", "5.5", "4", '"x"', "6"])
+    ]
+    path = tmp_path / "1_executor_monitor"
+    path.write_text("\n".join([*lines, lines[0][:20], lines[0]]) + "\n")
+    read = monitor_log.read_monitor_lines(spark, str(tmp_path))
+    whole = monitor_log.whole_samples(monitor_log.decode_samples(read))
+    assert sorted(r["t"] for r in whole.select("sample.Current Time").toDF("t").collect()) == list(range(6))

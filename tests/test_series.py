@@ -82,9 +82,9 @@ def test_disks(samples):
 
 def test_waterfall_islands(spark, tmp_path):
     def line(kind, task, owner, start, runtime):
-        items = ["x"] * 20
+        items = ["x"] * (20 + task % 2)
         items[0], items[9], items[12] = kind, str(task), owner
-        items[15], items[19] = str(runtime), f"{start}999"
+        items[15], items[19] = str(runtime), f"{start}99" if len(items) == 20 else f"{start}999"
         return " ".join(items)
 
     log = write(
@@ -97,9 +97,12 @@ def test_waterfall_islands(spark, tmp_path):
             line("compute", 5, "2)", 120, 1),
             line("network", 6, "7)", 110, 2),
             line("compute", 7, "1)", 130, 4),
+            line("compute", 8, "1)", "soon", 4),
         ],
     )
-    lanes = waterfall.waterfall(waterfall.parse_work_lines(waterfall.read_work_lines(spark, log)))
+    parsed = waterfall.parse_work_lines(waterfall.read_work_lines(spark, log))
+    assert [r["id"] for r in waterfall.unreadable_work_lines(parsed).collect()] == [8]
+    lanes = waterfall.waterfall(parsed)
     got = sorted((r["island"], r["lane"], r["id"], r["start"]) for r in lanes.collect())
     assert got == [(0, 0, 5, 0), (1, 0, 3, -20), (1, 1, 2, -10), (2, 0, 7, 10), (2, 1, 5, 20), (3, 0, 7, 30)]
     extent = waterfall.waterfall_extent(lanes).collect()[0]
