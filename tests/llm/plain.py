@@ -50,3 +50,80 @@ def near_duplicates(docs: dict, size: int, percent: int):
     sets = {i: shingles(t, size) for i, t in docs.items()}
     links = similar_sets({i: s for i, s in sets.items() if s}, percent)
     return {i: len(s) for i, s in sets.items()}, components(docs, links)
+
+
+def word_list(text, pattern):
+    lowered = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    return re.findall(pattern, lowered)
+
+
+def _distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return row[-1]
+
+
+def repeated_lines(docs: dict, distance=3, similarity=0.9, min_words=3):
+    """{(doc_id, line_no): keeper} of all lines that go, by comparing all pairs of lines."""
+    import numpy as np
+    import xxhash
+
+    first, places = {}, defaultdict(list)
+    for i in sorted(docs):
+        for no, line in enumerate((docs[i] or "").split("\n") if docs[i] is not None else []):
+            norm = re.sub("[.,!?;:]", "", line.lower()).strip(" ")
+            if len([w for w in norm.split(" ") if w]) >= min_words:
+                places[norm].append((i, no))
+                first.setdefault(norm, (i, no))
+    norms, sims = list(places), []
+    for norm in norms:
+        words = [w for w in norm.split(" ") if w]
+        hashes = np.array([xxhash.xxh64_intdigest(w, 42) for w in words], np.uint64)
+        bits = ((hashes[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)).sum(0)
+        sims.append(sum(1 << k for k in range(64) if bits[k] > len(words) // 2))
+    sims = np.array(sims, np.uint64)
+    links = []
+    for k, norm in enumerate(norms):
+        if len([w for w in norm.split(" ") if w]) < 5:
+            continue
+        for j in np.flatnonzero(np.bitwise_count(sims[:k] ^ sims[k]) <= distance):
+            other = norms[j]
+            longest = max(len(norm), len(other))
+            most = int((1 - similarity) * longest + 1e-9)
+            if len([w for w in other.split(" ") if w]) < 5 or abs(len(norm) - len(other)) > most:
+                continue
+            if _distance(norm, other) <= most:
+                links.append((k, int(j)))
+    label = components(range(len(norms)), links)
+    keeper = {}
+    for k, norm in enumerate(norms):
+        keeper[label[k]] = min(keeper.get(label[k], (10**9, 0)), first[norm])
+    return {
+        place: keeper[label[k]]
+        for k, norm in enumerate(norms)
+        for place in places[norm]
+        if place != keeper[label[k]]
+    }
+
+
+def without_lines(docs: dict, gone: dict):
+    out = {}
+    for i, text in docs.items():
+        drop = {no for d, no in gone if d == i}
+        if drop:
+            text = "\n".join(x for no, x in enumerate(text.split("\n")) if no not in drop)
+            if not text.strip():
+                continue
+        out[i] = text
+    return out
+
+
+def contains(docs: dict, items: dict):
+    """(doc_id, item_id) where an item's words stand in the text one after the other."""
+    pattern = r"[0-9a-z\x80-\U0010ffff]+"
+    texts = {i: f" {' '.join(word_list(t, pattern))} " for i, t in docs.items()}
+    wanted = {i: f" {' '.join(word_list(t, pattern))} " for i, t in items.items()}
+    return {(d, i) for d, t in texts.items() for i, w in wanted.items() if w in t}
