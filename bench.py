@@ -9,11 +9,14 @@ import os
 import time
 
 from sparkgauge.plans import catalog
-from sparkgauge.session import local_session
+from sparkgauge.session import local_session, remove_run
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
 HEADLINE = [
+    "s3_p1_p17_decoded_tasks",
+    "p6_task_disks",
+    "s1_s5_one_pass",
     "j1_job_tasks",
     "j2_orphan_tasks",
     "a10_a11_a9_stage_summary",
@@ -52,6 +55,7 @@ def main() -> None:
         "sf": SF_DIR.rstrip("/").rsplit("sf", 1)[-1],
     }
     print(json.dumps(result))
+    remove_run(spark)
     spark.stop()
 
 

@@ -122,6 +122,23 @@ def s4_bad_line_counts(spark, sf_dir):
     return event_log.bad_line_counts(lines.withColumn("value", broken))
 
 
+@query
+def s1_s5_one_pass(spark, sf_dir):
+    """Tasks and broken lines per application out of one pass over a mixed log."""
+    lines = fixtures.event_lines(spark, sf_dir)
+    key = F.col("pos.l_partkey") + F.col("pos.l_suppkey")
+    value = F.col("value")
+    mixed = (
+        F.when(key % 11 == 0, F.substring(value, F.lit(1), F.length(value) - 9))
+        .when(key % 13 == 0, F.regexp_replace(value, "SparkListenerTaskEnd", "SparkListenerTaskStart"))
+        .otherwise(value)
+    )
+    table = event_log.event_table(lines.withColumn("value", mixed))
+    return table.groupBy("app_id", "kind").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("event.Task Info.Task ID").alias("sum_task_id")
+    )
+
+
 @query
 def s5_mixed_log_events(spark, sf_dir):
     """Event dispatch: task ends out of a log that also holds job starts and other events."""

@@ -485,6 +485,10 @@ ph AS (
             _TASKS,
             body="SELECT app_id, count(*) AS bad_lines FROM tk WHERE (l_partkey + l_suppkey) % 11 = 0 OR (l_partkey + l_suppkey) % 13 = 0 GROUP BY app_id",
         ),
+        "s1_s5_one_pass": _with(
+            _TASKS,
+            body="SELECT app_id, CASE WHEN (l_partkey + l_suppkey) % 11 = 0 THEN 'broken' ELSE 'task' END AS kind, count(*) AS n, CAST(sum(CASE WHEN (l_partkey + l_suppkey) % 11 <> 0 THEN task_id END) AS BIGINT) AS sum_task_id FROM tk WHERE (l_partkey + l_suppkey) % 11 = 0 OR (l_partkey + l_suppkey) % 13 <> 0 GROUP BY ALL",
+        ),
         "s5_mixed_log_events": _with(
             _TASKS,
             body="SELECT app_id, count(*) AS n_tasks, CAST(sum(task_id) AS BIGINT) AS sum_task_id FROM tk WHERE l_linenumber <> 7 GROUP BY app_id",

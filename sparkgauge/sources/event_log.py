@@ -2,8 +2,10 @@
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkgauge import schemas
+from sparkgauge.session import materialize
 
 # Row numbers restart in every scan partition, byte offsets in every file. A log beyond these
 # limits is an error, never a wrong order.
@@ -51,9 +53,11 @@ def read_lines(spark: SparkSession, paths, **options) -> DataFrame:
 
 
 def whole(corrupt: Column) -> Column:
-    """True for whole JSON. Spark also keeps the text as corrupt when one field has another
-    type than declared; that field is NULL then and the rest is good, so syntax decides."""
-    return corrupt.isNull() | F.try_parse_json(corrupt).isNotNull()
+    """True for a whole JSON object. Spark also keeps the text as corrupt when one field has
+    another type than declared; that field is NULL then and the rest is good, so syntax decides."""
+    return corrupt.isNull() | (
+        F.ltrim(corrupt).startswith("{") & F.try_parse_json(corrupt).isNotNull()
+    )
 
 
 def _decode(lines: DataFrame, event_name: str, schema) -> DataFrame:
@@ -110,6 +114,38 @@ def odd_tasks(lines: DataFrame, schema=schemas.TASK_END) -> DataFrame:
     )
 
 
+def event_table(lines: DataFrame) -> DataFrame:
+    """(kind, app_id, pos, event, value) as a table in folders by kind, from one pass over the
+    text: 'task' and 'job' events, and 'broken' lines with their text. Other events are left out.
+
+    For analyses that need several kinds of one log: compressed logs are then unpacked once.
+    """
+    schema = T.StructType([*schemas.TASK_END.fields, *schemas.JOB_START.fields[1:]])
+    named = F.when(F.col("value").contains("SparkListenerTaskEnd"), "task").when(
+        F.col("value").contains("SparkListenerJobStart"), "job"
+    )
+    decoded = F.when(
+        named.isNotNull(),
+        F.from_json(
+            "value", schemas.with_corrupt(schema), {"columnNameOfCorruptRecord": "_corrupt"}
+        ),
+    )
+    read = lines.select(
+        "app_id", "pos", "value", named.alias("named"), F.explode(F.array(decoded)).alias("event")
+    )
+    told = F.when(F.col("named") == "task", "SparkListenerTaskEnd").otherwise("SparkListenerJobStart")
+    good = F.when(
+        F.col("named").isNotNull(), F.col("event").isNotNull() & whole(F.col("event._corrupt"))
+    ).otherwise(whole(F.col("value")))
+    kind = F.when(~good, "broken").when(F.col("event.Event") == told, F.col("named"))
+    sorted_out = read.withColumn("kind", kind).where("kind is not null")
+    text = F.when(F.col("kind") == "broken", F.col("value")).alias("value")
+    event = F.when(F.col("kind") != "broken", F.col("event").dropFields("_corrupt")).alias("event")
+    return materialize(
+        sorted_out.select("kind", "app_id", "pos", event, text), "events", partition_by=("kind",)
+    )
+
+
 def bad_line_counts(lines: DataFrame) -> DataFrame:
     return bad_lines(lines).groupBy("app_id").agg(F.count(F.lit(1)).alias("bad_lines"))
 
