@@ -22,31 +22,28 @@ def _least(pairs: DataFrame) -> DataFrame:
     return stage(least.select("a", F.least("a", "m").alias("m")), "least")
 
 
-def _state(edges: DataFrame) -> tuple:
-    """Number of edges and two sums of their hashes: alike for equal edge sets."""
-    return tuple(
-        edges.agg(
-            F.count(F.lit(1)),
-            F.sum(F.shiftright(F.xxhash64("a", "b"), 16)),
-            F.sum(F.shiftright(F.xxhash64("b", "a"), 16)),
-        ).first()
+def _are_stars(edges: DataFrame) -> bool:
+    """True if every node a has one neighbour b only, and no b is also an a."""
+    ends = edges.select("a", F.lit(1).alias("own"), F.lit(0).alias("centre")).unionByName(
+        edges.select(F.col("b").alias("a"), F.lit(0).alias("own"), F.lit(1).alias("centre"))
     )
+    counted = ends.groupBy("a").agg(F.sum("own").alias("own"), F.max("centre").alias("centre"))
+    return is_empty(counted.where("own + centre > 1"))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node with an edge; component is its smallest reachable node.
 
-    Large-star and small-star steps (Kiveris et al., 2014) take turns until the edges stay
-    the same, which are then stars around the smallest nodes. Edge columns a, b may be of any
-    ordered type; loops and repeated edges do no harm. Every step is an aggregate with map-side
-    combine and one equi-join; nothing but three numbers per round reaches the driver.
+    Large-star and small-star steps (Kiveris et al., 2014) take turns until the edges are stars
+    around the smallest nodes. Edge columns a, b may be of any ordered type; loops and repeated
+    edges do no harm. Every step is an aggregate with map-side combine and one equi-join; at
+    most one row per round reaches the driver.
     """
     order = edges.where(F.col("a") != F.col("b")).select(
         F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
     )
     now = stage(order.distinct(), "edges")
-    state = _state(now)
-    while state[0]:
+    while not _are_stars(now):
         both = _both_ways(now)
         large = (
             both.join(_least(both), "a")
@@ -62,9 +59,6 @@ def components(edges: DataFrame) -> DataFrame:
             .where(F.col("a") != F.col("b"))
         )
         now = stage(small.distinct(), "small_star")
-        before, state = state, _state(now)
-        if state == before:
-            break
     centres = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(centres)
 
