@@ -31,6 +31,8 @@ MARGIN = 4.5
 REGION = 2000
 #: Signatures per side that are compared with each other in memory.
 BLOCK = 512
+#: Bits of the map of a set, which bounds from above what two sets can share.
+MAP_BITS = 2048
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -74,7 +76,8 @@ def _seeds(count: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(docs: DataFrame, size: int, hashes: int) -> DataFrame:
-    """(doc_id, n_shingles, fp1, fp2, sig): 128-bit fingerprint and MinHashes of each set."""
+    """(doc_id, n_shingles, fp1, fp2, sig): 128-bit fingerprint of each set; its MinHashes, size
+    and bit map in one binary value."""
     flips, factors = _seeds(hashes)
     one, two = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 
@@ -92,9 +95,13 @@ def signatures(docs: DataFrame, size: int, hashes: int) -> DataFrame:
                     least[:, i] = np.minimum.reduceat((low ^ flips[i]) * factors[i], at)
                 prints[0, some] = np.add.reduceat(mix(sets ^ one), at)
                 prints[1, some] = np.add.reduceat(mix(sets ^ two), at)
+        bits = np.zeros((len(some), MAP_BITS), bool)
+        bits[np.repeat(np.arange(len(some)), counts[some]), sets >> np.uint64(53)] = True
+        maps = np.packbits(bits, axis=1)
         sigs: list[bytes | None] = [None] * len(counts)
         for row, k in enumerate(some):
-            sigs[k] = least[row].tobytes()
+            number = np.array([counts[k]], ">u4")
+            sigs[k] = least[row].tobytes() + number.tobytes() + maps[row].tobytes()
         return pa.RecordBatch.from_arrays(
             [
                 run.column("doc_id"),
@@ -114,6 +121,26 @@ def signatures(docs: DataFrame, size: int, hashes: int) -> DataFrame:
     )
 
 
+def _parse(sigs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """MinHashes, set sizes and bit maps (as 64-bit words) of a column of signatures."""
+    listed = sigs.to_pylist()
+    raw = np.frombuffer(b"".join(listed), np.uint8).reshape(len(listed), -1)
+    body = raw.shape[1] - MAP_BITS // 8 - 4
+    words = [np.ascontiguousarray(x) for x in np.split(raw, [body, body + 4], axis=1)]
+    hashes, size = (x.view(">u4").astype(np.uint32) for x in words[:2])
+    return hashes, size[:, 0].astype(np.int64), words[2].view(np.uint64)
+
+
+def _may_link(sizes, maps, other_sizes, other_maps, threshold: float) -> np.ndarray:
+    """False for pairs that surely miss the threshold: bits of one map that the other lacks
+    are shingles that it lacks."""
+    most = np.minimum(
+        sizes - np.bitwise_count(maps & ~other_maps).sum(1),
+        other_sizes - np.bitwise_count(other_maps & ~maps).sum(1),
+    )
+    return most >= threshold * (sizes + other_sizes - most) - 1e-6
+
+
 def _buckets(classes: DataFrame, trees: int) -> DataFrame:
     """(bucket, id): one row per tree; the tree is in the low byte of the bucket."""
 
@@ -121,8 +148,7 @@ def _buckets(classes: DataFrame, trees: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            raw = b"".join(batch.column("sig").to_pylist())
-            sig = np.frombuffer(raw, ">u4").reshape(batch.num_rows, -1).astype(np.uint64)
+            sig = _parse(batch.column("sig"))[0].astype(np.uint64)
             ids = batch.column("id")
             with np.errstate(over="ignore"):
                 for tree in range(trees):
@@ -193,25 +219,25 @@ def _confirmed(pairs: DataFrame, size: int, percent: int) -> DataFrame:
     return pairs.mapInArrow(mapper, "a long, b long")
 
 
-def _likely(pairs: DataFrame, least: float) -> DataFrame:
-    """Pairs whose signatures agree in a share of at least `least` of their hashes."""
+def _likely(pairs: DataFrame, least: float, threshold: float) -> DataFrame:
+    """Pairs whose signatures agree in a share of at least `least` of their hashes, and whose
+    bit maps leave the threshold within reach."""
 
     def mapper(batches):
         for batch in batches:
-            n = batch.num_rows
-            if not n:
+            if not batch.num_rows:
                 continue
-            one, two = (
-                np.frombuffer(b"".join(batch.column(c).to_pylist()), ">u4").reshape(n, -1)
-                for c in ("sig_a", "sig_b")
-            )
-            near = (one == two).mean(axis=1) >= least
+            one, two = (_parse(batch.column(c)) for c in ("sig_a", "sig_b"))
+            near = (one[0] == two[0]).mean(axis=1) >= least
+            near &= _may_link(*one[1:], *two[1:], threshold)
             yield batch.select(["a", "b"]).filter(pa.array(near))
 
     return pairs.mapInArrow(mapper, "a long, b long")
 
 
-def _apart(labelled: DataFrame, classes: DataFrame, least: float) -> DataFrame:
+def _apart(
+    labelled: DataFrame, classes: DataFrame, least: float, threshold: float
+) -> DataFrame:
     """Pairs with different labels in a crowded bucket whose signatures are near.
 
     Signatures are compared block by block inside tasks; a pair is given out in the first tree
@@ -223,8 +249,7 @@ def _apart(labelled: DataFrame, classes: DataFrame, least: float) -> DataFrame:
         label = group.column("label").to_numpy()
         if (label == label[0]).all():
             return None
-        raw = b"".join(group.column("sig").to_pylist())
-        sig = np.frombuffer(raw, ">u4").reshape(group.num_rows, -1).astype(np.uint32)
+        sig, sizes, maps = _parse(group.column("sig"))
         hashes = sig.shape[1]
         agree = np.zeros((len(one), len(two)), np.uint16)
         for h in range(hashes):
@@ -232,6 +257,8 @@ def _apart(labelled: DataFrame, classes: DataFrame, least: float) -> DataFrame:
         near = (agree >= least * hashes) & (label[one][:, None] != label[two][None, :])
         a, b = np.nonzero(np.triu(near, 1) if same else near)
         a, b = one[a], two[b]
+        new = _may_link(sizes[a], maps[a], sizes[b], maps[b], threshold)
+        a, b = a[new], b[new]
         equal = sig[a] == sig[b]
         new = np.ones(len(a), bool)
         for tree in range(int(group.column("bucket")[0].as_py()) & 0xFF):
@@ -271,7 +298,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         left = known.select(F.col("id").alias("a"), F.col("sig").alias("sig_a"))
         right = known.select(F.col("id").alias("b"), F.col("sig").alias("sig_b"))
         likely = stage(
-            _likely(pairs.join(left, "a").join(right, "b").select("a", "b", "sig_a", "sig_b"), least),
+            _likely(pairs.join(left, "a").join(right, "b").select("a", "b", "sig_a", "sig_b"), least, threshold),
             "likely",
         )
         full = stage(rows_of(texts, _ids(likely, "id"), "id"), "pair_texts")
@@ -284,7 +311,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         _buckets(classes, trees),
         verify,
         near=lambda crowd: _neighbours(crowd, classes, hashes),
-        rest=lambda labelled: _apart(labelled, classes, least),
+        rest=lambda labelled: _apart(labelled, classes, least, threshold),
     )
     found = components(links).select(F.col("node").alias("id"), "component")
     labels = stage(
