@@ -13,6 +13,7 @@ from sparkgauge.llm import (
     license_scan,
     line_dedup,
     minhash_dedup,
+    oracle,
     quality_fm,
     toxicity,
     warc_writer,
@@ -88,4 +89,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.oracle_sql()
