@@ -40,8 +40,11 @@ LEET = {
     "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "€": "e",
 }
 SPACED = re.compile(r"(?<![^\W_])[^\W\d_](?:[ .*_-][^\W\d_]){3,}(?![^\W_])")
+# What ends a span besides blanks; all else may stand inside a word.
+SPLIT = ",;:()[]{}<>/\\\"=&?#%"
 LETTERS = byte_class((0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF))
-_CACHE = 200_000
+# Restored spans kept per task, and the length up to which one is kept.
+_CACHE, _CACHED = 200_000, 40
 
 
 class Model(NamedTuple):
@@ -124,10 +127,11 @@ def _choices(word: str) -> list[list[tuple[str, float]]]:
 def viterbi(word: str, chars: np.ndarray) -> str:
     """Likeliest spelling behind a lower-case word."""
     table = _symbols()
-    best = {(0, 0): (0.0, "")}
+    # The text of a path is a chain of (chain before, letter): nothing is copied.
+    best: dict = {(0, 0): (0.0, None)}
     for ways in _choices(word):
-        step: dict[tuple[int, int], tuple[float, str]] = {}
-        for (older, before), (score, text) in best.items():
+        step: dict = {}
+        for (older, before), (score, chain) in best.items():
             for letter, cost in ways:
                 if letter:
                     symbol = int(table[ord(letter)])
@@ -135,13 +139,22 @@ def viterbi(word: str, chars: np.ndarray) -> str:
                 else:
                     key, new = (older, before), score - cost
                 if key not in step or new > step[key][0]:
-                    step[key] = (new, text + letter)
+                    step[key] = (new, (chain, letter) if letter else chain)
         best = step
-    return max((s + chars[a, b, 0], text) for (a, b), (s, text) in best.items())[1]
+    def text(chain):
+        letters = []
+        while chain is not None:
+            chain, letter = chain
+            letters.append(letter)
+        return "".join(reversed(letters))
+
+    ends = {k: s + chars[*k, 0] for k, (s, _) in best.items()}
+    top = max(ends.values())
+    return max(text(best[k][1]) for k, score in ends.items() if score == top)
 
 
 def _suspects(text: str) -> list[tuple[int, int]]:
-    """Spans of a lower-case text that may hide a word."""
+    """Spans of a lower-case text that may hide a word, of any length."""
     points = _points(text)
     if len(points) < 3:
         return []
@@ -156,18 +169,20 @@ def _suspects(text: str) -> list[tuple[int, int]]:
     hit = sign & (after | (before & single & ~weak))
     hit[2:] |= letter[2:] & (points[2:] == points[1:-1]) & (points[2:] == points[:-2])
     out = []
-    blank = np.flatnonzero((points <= 0x20) | (points == 0xA0))
+    split = np.zeros(128, bool)
+    split[[ord(c) for c in SPLIT]] = True
+    split = split[np.minimum(points, 127)] & (points < 128)
+    blank = np.flatnonzero((points <= 0x20) | (points == 0xA0) | split)
     for i in np.flatnonzero(hit):
         if out and i < out[-1][1]:
             continue
         k = np.searchsorted(blank, i)
         start = int(blank[k - 1]) + 1 if k else 0
         end = int(blank[k]) if k < len(blank) else len(points)
-        if end - start <= 40:
-            out.append((start, end))
+        out.append((start, end))
     if len(text) > 6:
         out += [m.span() for m in SPACED.finditer(text)]
-    return sorted(out)
+    return sorted(out, key=lambda span: (span[0], -span[1]))
 
 
 def restore(text: str | None, chars: np.ndarray, cache: dict[str, str]) -> str:
@@ -180,11 +195,14 @@ def restore(text: str | None, chars: np.ndarray, cache: dict[str, str]) -> str:
         if start < done:
             continue
         word = text[start:end]
-        if word not in cache:
-            if len(cache) >= _CACHE:
-                cache.clear()
-            cache[word] = viterbi(word, chars)
-        pieces += [text[done:start], cache[word]]
+        found = cache.get(word)
+        if found is None:
+            found = viterbi(word, chars)
+            if len(word) <= _CACHED:
+                if len(cache) >= _CACHE:
+                    cache.clear()
+                cache[word] = found
+        pieces += [text[done:start], found]
         done = end
     return "".join([*pieces, text[done:]]) if pieces else text
 
