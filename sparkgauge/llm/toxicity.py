@@ -1,8 +1,9 @@
 """Toxicity of texts behind leetspeak, spaced-out and stretched spelling.
 
 A character language model is counted over all texts. Suspicious spans become lattices: a digit
-or sign may stand for letters or for nothing, a repeated letter may be one letter, blanks or
-dots between single letters may be fillers. A Viterbi search takes the path that the language
+or sign may stand for letters or for nothing, a repeated letter may be one letter, blanks,
+dots and dashes between single letters or signs may be fillers. Signs alone, without any letter,
+are numbers, and a single doubled letter is ordinary spelling: neither is a suspect. A Viterbi search takes the path that the language
 model and the channel costs find likeliest; the restored text is then scored by the log-odds of
 its words and word beginnings, learned from a bounded sample of labelled documents.
 
@@ -39,7 +40,12 @@ LEET = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b",
     "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "€": "e",
 }
-SPACED = re.compile(r"(?<![^\W_])[^\W\d_](?:[ .*_-][^\W\d_]){3,}(?![^\W_])")
+# Three or more single letters or signs, fillers between all of them; no weak sign at an end.
+_UNIT, _FILL = f"(?:[^\\W\\d_]|[{re.escape(''.join(LEET))}])", r"[ \t\xa0.*_,/~'-]"
+_END = "(?![!|+])" + _UNIT
+SPACED = re.compile(f"(?<![^\\W_]){_END}(?:{_FILL}+{_UNIT})+{_FILL}+{_END}(?![^\\W_])")
+_LETTER = re.compile(r"[^\W\d_]")
+_BLANKS = re.compile(r"[ \t\xa0]+")
 # What ends a span besides blanks; all else may stand inside a word.
 SPLIT = ",;:()[]{}<>/\\\"=&?#%"
 LETTERS = byte_class((0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF))
@@ -110,6 +116,10 @@ def char_model(counts: np.ndarray) -> np.ndarray:
 
 
 def _choices(word: str) -> list[list[tuple[str, float]]]:
+    gaps = [m.span() for m in _BLANKS.finditer(word)]
+    least = min((end - start for start, end in gaps), default=0)
+    # A gap wider than others may be one between words.
+    wide = {start for start, end in gaps if end - start > least}
     out = []
     for i, c in enumerate(word):
         if c.isalpha():
@@ -119,7 +129,7 @@ def _choices(word: str) -> list[list[tuple[str, float]]]:
         elif c in LEET:
             ways = [(x, SWAP) for x in LEET[c]] + [("", DROP)]
         else:
-            ways = [("", FILLER)]
+            ways = [("", FILLER)] + [(" ", FILLER)] * (i in wide)
         out.append(ways)
     return out
 
@@ -133,7 +143,9 @@ def viterbi(word: str, chars: np.ndarray) -> str:
         step: dict = {}
         for (older, before), (score, chain) in best.items():
             for letter, cost in ways:
-                if letter:
+                if letter == " ":
+                    key, new = (0, 0), score - cost + chars[older, before, 0]
+                elif letter:
                     symbol = int(table[ord(letter)])
                     key, new = (before, symbol), score - cost + chars[older, before, symbol]
                 else:
@@ -167,7 +179,9 @@ def _suspects(text: str) -> list[tuple[int, int]]:
     single = sign & ~np.append(points[1:] == points[:-1], False)
     weak = (points == ord("!")) | (points == ord("|"))
     hit = sign & (after | (before & single & ~weak))
-    hit[2:] |= letter[2:] & (points[2:] == points[1:-1]) & (points[2:] == points[:-2])
+    twice = letter[1:] & (points[1:] == points[:-1])
+    hit[2:] |= twice[1:] & twice[:-1]
+    hit[3:] |= twice[2:] & twice[:-2]
     out = []
     split = np.zeros(128, bool)
     split[[ord(c) for c in SPLIT]] = True
@@ -180,8 +194,8 @@ def _suspects(text: str) -> list[tuple[int, int]]:
         start = int(blank[k - 1]) + 1 if k else 0
         end = int(blank[k]) if k < len(blank) else len(points)
         out.append((start, end))
-    if len(text) > 6:
-        out += [m.span() for m in SPACED.finditer(text)]
+    if len(text) > 4:
+        out += [m.span() for m in SPACED.finditer(text) if _LETTER.search(m[0])]
     return sorted(out, key=lambda span: (span[0], -span[1]))
 
 

@@ -36,3 +36,21 @@ def test_leetspeak_in_long_tokens(chars, text):
 def test_words_stretched_past_any_length(chars):
     for n in (50, 5000):
         assert restored(f"you idi{'o' * n}t", chars) == ["you", "idiot"]
+
+
+@pytest.mark.parametrize("text", [
+    "i d i o t", "1 d 1 0 t", "i d 1 o t", "i.d.1.0.t", "i  d  i  o  t", "i - d - i - o - t",
+    "i\t1\td.*0 t".replace("1\td", "d\t1"), "1.d.1.0t", "i,d,1,0,t", "i_d_1_o_t !", "iiddiioott", "11dd1100tt",
+])
+def test_spaced_leetspeak_and_doubled_letters(chars, text):
+    out = restored(f"you {text} book", chars)
+    assert (out[0], out[1], out[-1]) == ("you", "idiot", "book")
+
+
+def test_wider_gaps_between_spaced_words(chars):
+    assert restored("y 0 u   1 d 1 0 t", chars) == ["you", "idiot"]
+
+
+@pytest.mark.parametrize("text", ["1 0 1 0 7", "10 - 20 - 30", "good people book it", "the 5 people"])
+def test_numbers_and_plain_words_stay(chars, text):
+    assert toxicity.restore(text, chars, {}) == text
