@@ -1,4 +1,4 @@
-"""Training documents that contain benchmark items: BM25 with block-max WAND, then overlap.
+"""Training documents that contain benchmark items: BM25 with block maxima, then overlap.
 
 The items (parts of up to PART words, longer ones in several parts) form an inverted index with
 BM25 impacts, scaled so that a part's impacts add up to 1. Every passage (2 * PART words, every
