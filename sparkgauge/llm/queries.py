@@ -9,9 +9,11 @@ from sparkgauge.llm import (
     bpe,
     decontamination,
     embedding_dedup,
+    hard_negatives,
     language_id,
     license_scan,
     line_dedup,
+    lm_scoring,
     minhash_dedup,
     oracle,
     quality_fm,
@@ -68,6 +70,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.scored(read(spark, sf_dir, "documents"), fold=10, held=0)
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(hard_negatives.relabelled(read(spark, sf_dir, "embeddings")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -84,6 +94,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_bpe": op8_bpe,
         "op9_quality_fm": op9_quality_fm,
         "op10_toxicity": op10_toxicity,
+        "op11_lm_scoring": op11_lm_scoring,
+        "op12_hard_negatives": op12_hard_negatives,
         "pipeline": pipeline,
     }
 
