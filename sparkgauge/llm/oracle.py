@@ -81,5 +81,53 @@ QUALIFY rank <= 5
 """
 
 
+OP13 = """
+WITH pieces AS (
+  SELECT row_number() OVER () AS piece, lang, regexp_extract_all(part, '[^\\x20\\x09]+') AS words
+  FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[.,;:!?\\x0A-\\x0D]')) AS part
+    FROM documents
+  )
+),
+total AS (SELECT lang, CAST(sum(len(words)) AS BIGINT) AS n FROM pieces GROUP BY lang),
+f AS (
+  SELECT lang, words[i:i + k - 1] AS words, count(*) AS n
+  FROM (SELECT lang, words, k, unnest(range(1, len(words) - k + 2)) AS i
+        FROM pieces, (SELECT unnest([1, 2, 3, 4, 5]) AS k))
+  GROUP BY ALL HAVING count(*) >= 100
+),
+inner_parts AS (
+  SELECT lang, unnest([words[:-2], words[2:]]) AS words, n FROM f WHERE len(words) > 2
+),
+chosen AS (
+  SELECT f.lang, f.words, f.n AS a FROM f
+  LEFT JOIN (SELECT lang, words, max(n) AS n FROM inner_parts GROUP BY ALL) h
+    ON h.lang = f.lang AND h.words = f.words
+  WHERE len(f.words) > 1 AND (h.n IS NULL OR 100 * h.n < 100 * f.n)
+),
+cuts AS (SELECT *, unnest(range(1, len(words))) AS k FROM chosen),
+scored AS (
+  SELECT c.lang, c.words, c.a, x.n AS l, y.n AS r, t.n,
+    CAST((CAST(1000 AS HUGEINT) * c.a * t.n) // (CAST(x.n AS HUGEINT) * y.n) AS BIGINT) AS score
+  FROM cuts c
+  JOIN f x ON x.lang = c.lang AND x.words = c.words[1:k]
+  JOIN f y ON y.lang = c.lang AND y.words = c.words[k + 1:]
+  JOIN total t ON t.lang = c.lang
+  QUALIFY row_number() OVER (PARTITION BY c.lang, c.words ORDER BY score, k) = 1
+),
+named AS (SELECT lang, array_to_string(words, ' ') AS phrase, a, l, r, n, score FROM scored)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank,
+  phrase, a, l, r, n, score
+FROM named QUALIFY rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_embedding_dedup": OP2, "op5_minhash_dedup": OP5, "op12_hard_negatives": OP12}
+    return {
+        "op2_embedding_dedup": OP2,
+        "op5_minhash_dedup": OP5,
+        "op12_hard_negatives": OP12,
+        "op13_collocations": OP13,
+    }

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sparkgauge.llm import (
     bpe,
+    collocations,
     decontamination,
     embedding_dedup,
     hard_negatives,
@@ -78,6 +79,10 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.hard_negatives(hard_negatives.relabelled(read(spark, sf_dir, "embeddings")))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents"), least=100, top=2000)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -96,6 +101,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_toxicity": op10_toxicity,
         "op11_lm_scoring": op11_lm_scoring,
         "op12_hard_negatives": op12_hard_negatives,
+        "op13_collocations": op13_collocations,
         "pipeline": pipeline,
     }
 
