@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from sparkgauge.llm.shared import runs
 
 #: Keys that a task gathers before it adds them up and sends them on (16 bytes each).
-FLUSH = 1 << 22
+FLUSH = 1 << 20
 #: Bytes of text that a segment is meant to get its keys from.
 SEGMENT_BYTES = 1 << 22
 BLOBS = "segment long, keys binary, counts binary"
