@@ -40,6 +40,8 @@ HOT = 1 << 16
 BITS, HASHES = 10, 5
 STRENGTH = 200.0
 SHARD_BYTES = 1 << 28
+#: Parts in which the segments of a shard are collected.
+CHUNKS = 8
 _ODD = np.uint64(0xD6E8FEB86659FD93)
 #: Least count of each level: a scale with ratio 1.5, as whole numbers.
 LEVELS = np.unique(np.ceil(1.5 ** np.arange(0, 107) * (1 - 1e-12))).astype(np.int64)
@@ -225,15 +227,18 @@ def _hot_words(words: DataFrame, n_tokens: int) -> tuple[np.ndarray, np.ndarray]
     return keys[order], found.column("n").to_numpy()[order]
 
 
-def _filters(rows: pa.Table, first: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Filters of the segments from `first` on, end to end, with first bytes and sizes in bits."""
-    starts, sizes, parts, size = np.zeros(n, np.int64), np.zeros(n, np.int64), [], 0
-    for segment, blob in zip(rows.column("segment"), rows.column("filter"), strict=True):
-        at, part = segment.as_py() - first, np.frombuffer(blob.as_buffer(), np.uint8)
-        starts[at], sizes[at] = size, len(part) * 8
-        parts.append(part)
-        size += len(part)
-    return np.concatenate(parts) if parts else np.zeros(1, np.uint8), starts, sizes
+class Filters:
+    """Filters of consecutive segments, end to end, with first bytes and sizes in bits."""
+
+    def __init__(self, n: int):
+        self.starts, self.sizes, self.bytes = np.zeros(n, np.int64), np.zeros(n, np.int64), bytearray()
+
+    def add(self, at: int, blob: bytes) -> None:
+        self.starts[at], self.sizes[at] = len(self.bytes), len(blob) * 8
+        self.bytes += blob
+
+    def done(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return np.frombuffer(self.bytes or bytearray(1), np.uint8), self.starts, self.sizes
 
 
 class Model:
@@ -280,54 +285,52 @@ class Model:
             self.cuts += 1
 
     def shard(self, number: int) -> Shard:
+        """Its segments come to the driver a few at a time, and stay as flat arrays only."""
         shift = self.bits - self.cuts
-        first = number << shift
-        mine = F.shiftright("segment", shift) == number
-        words = self.words.where(mine).select("segment", "keys", "counts", "filter").toArrow().sort_by("segment")
-        pairs = self.pairs.where(mine).toArrow()
-
-        def joined(column, kind):
-            parts = [np.frombuffer(x.as_buffer(), kind) for x in words.column(column)]
-            return np.concatenate(parts) if parts else np.zeros(0, kind)
-
+        first, n = number << shift, 1 << shift
+        keys, counts, one, two = [], [], Filters(n), Filters(n)
+        each = max(1, n // CHUNKS)
+        for start in range(first, first + n, each):
+            mine = F.col("segment").between(start, start + each - 1)
+            rows = self.words.where(mine).select("segment", "keys", "counts", "filter").toArrow()
+            for segment, key, count, blob in zip(*rows.sort_by("segment").columns, strict=True):
+                keys.append(np.frombuffer(key.as_py(), np.uint64))
+                counts.append(np.frombuffer(count.as_py(), np.int64))
+                one.add(segment.as_py() - first, blob.as_py())
+            for segment, blob in zip(*self.pairs.where(mine).select("segment", "filter").toArrow().columns, strict=True):
+                two.add(segment.as_py() - first, blob.as_py())
         return Shard(
-            number, shift, self.bits, joined("keys", np.uint64), joined("counts", np.int64),
-            _filters(words, first, 1 << shift), _filters(pairs, first, 1 << shift),
-            self.hot, (self.n_tokens, self.n_words, self.n_docs),
+            number, shift, self.bits,
+            np.concatenate([*keys, np.zeros(0, np.uint64)]), np.concatenate([*counts, np.zeros(0, np.int64)]),
+            one.done(), two.done(), self.hot, (self.n_tokens, self.n_words, self.n_docs),
         )
 
     def scores(self, docs: DataFrame, strength: float = STRENGTH) -> DataFrame:
         """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) per row of
         `docs` (doc_id, text, held_out)."""
         context = docs.sparkSession.sparkContext
-        schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-        one_pass = not self.cuts
-        if not one_pass:
-            schema += ", text_hash binary"
-        made = None
+        columns = ["doc_id", "held_out", "text_hash", "n_tokens", "n_known", "base_score", "score"]
+        schema = (
+            "doc_id long, held_out boolean, text_hash binary, n_tokens long, n_known long, "
+            "base_score double, score double"
+        )
+        hashed = F.unhex(F.sha2("text", 256)) if self.cuts else F.lit(None).cast("binary")
+        rows = docs.select("doc_id", "held_out", hashed.alias("text_hash"), "text")
+        parts = None
         for number in range(1 << self.cuts):
             sent = context.broadcast(self.shard(number))
 
             def work(run, sent=sent):
-                parts = [pa.array(x) for x in score(sent.value, run.column("text"), strength)]
-                columns = [run.column("doc_id"), run.column("held_out"), *parts]
-                names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
-                if not one_pass:
-                    columns, names = [*columns, run.column("text_hash")], [*names, "text_hash"]
-                return pa.record_batch(columns, names)
-
-            rows = docs if one_pass else docs.withColumn("text_hash", F.unhex(F.sha2("text", 256)))
-            part = map_texts(rows, work, schema)
-            if one_pass:
-                made = part
-            else:
-                # One shard at a time is sent out; its sums are written before the next one.
-                part = stage(part, "lm_part")
-                sent.unpersist()
-                made = part if made is None else made.unionByName(part)
-        if not one_pass:
-            made = _summed(made, 1 << self.cuts)
-        return made.select(
+                made = [pa.array(x) for x in score(sent.value, run.column("text"), strength)]
+                return pa.record_batch([*run.columns[:3], *made], columns)
+
+            # The sums of a shard are written, and its broadcast is gone, before the next one.
+            part = stage(map_texts(rows, work, schema), "lm_part")
+            sent.destroy()
+            parts = part if parts is None else parts.unionByName(part)
+        if self.cuts:
+            parts = _summed(parts, 1 << self.cuts)
+        return parts.select(
             "doc_id", "held_out", "n_tokens", "n_known",
             F.lit(self.n_tokens).cast("long").alias("train_tokens"), "base_score", "score",
         )
