@@ -348,7 +348,12 @@ def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     )
     if is_empty(twice):
         return kept
+    # Types without an order, as maps, are compared by their text.
+    order = [
+        F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`")
+        for f in docs.schema.fields
+    ]
     least = rows_of(kept, twice, "doc_id").groupBy(F.col("doc_id").alias("_id")).agg(
-        F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("_row")
+        F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.struct(*order)).alias("_row")
     )
     return without(kept, twice, "doc_id").unionByName(least.select("_row.*"))
