@@ -57,46 +57,57 @@ def word_list(text, pattern):
     return re.findall(pattern, lowered)
 
 
-def _distance(a, b):
+def _distance(a, b, most):
+    """Edit distance, or anything over `most` where it is larger."""
+    while a and b and a[0] == b[0]:
+        a, b = a[1:], b[1:]
+    while a and b and a[-1] == b[-1]:
+        a, b = a[:-1], b[:-1]
+    far = most + 1
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
-        before, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+        new = [far] * (len(b) + 1)
+        new[0] = i
+        for j in range(max(1, i - most), min(len(b), i + most) + 1):
+            new[j] = min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (x != b[j - 1]))
+        if min(new) > most:
+            return far
+        row = new
     return row[-1]
 
 
-def repeated_lines(docs: dict, distance=3, similarity=0.9, min_words=3):
-    """{(doc_id, line_no): keeper} of all lines that go, by comparing all pairs of lines."""
+def _pair_counts(line):
+    """Counts of the pairs of letters, in 512 classes: an edit moves four at most."""
+    import numpy as np
+
+    codes = np.array([ord(c) for c in line])
+    return np.bincount((codes[:-1] * 31 + codes[1:]) % 512, minlength=512)
+
+
+def repeated_lines(docs: dict, similarity=0.9, min_words=3):
+    """{(doc_id, line_no): keeper} of all lines that go, by the edit distances of all pairs of lines."""
     import numpy as np
-    import xxhash
 
     first, places = {}, defaultdict(list)
     for i in sorted(docs):
         for no, line in enumerate((docs[i] or "").split("\n") if docs[i] is not None else []):
-            norm = re.sub("[.,!?;:]", "", line.lower()).strip(" ")
+            norm = re.sub("[.,!?;:]+| (?=[.,!?;: ]* )", "", line.lower()).strip(" ")
             if len([w for w in norm.split(" ") if w]) >= min_words:
                 places[norm].append((i, no))
                 first.setdefault(norm, (i, no))
-    norms, sims = list(places), []
-    for norm in norms:
-        words = [w for w in norm.split(" ") if w]
-        hashes = np.array([xxhash.xxh64_intdigest(w, 42) for w in words], np.uint64)
-        bits = ((hashes[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)).sum(0)
-        sims.append(sum(1 << k for k in range(64) if bits[k] > len(words) // 2))
-    sims = np.array(sims, np.uint64)
+    norms = list(places)
+    fuzzy = sorted(
+        (k for k, norm in enumerate(norms) if len([w for w in norm.split(" ") if w]) >= 5),
+        key=lambda k: len(norms[k]),
+    )
+    sizes = np.array([len(norms[k]) for k in fuzzy])
+    counts = np.array([_pair_counts(norms[k]) for k in fuzzy]).reshape(len(fuzzy), -1)
     links = []
-    for k, norm in enumerate(norms):
-        if len([w for w in norm.split(" ") if w]) < 5:
-            continue
-        for j in np.flatnonzero(np.bitwise_count(sims[:k] ^ sims[k]) <= distance):
-            other = norms[j]
-            longest = max(len(norm), len(other))
-            most = int((1 - similarity) * longest + 1e-9)
-            if len([w for w in other.split(" ") if w]) < 5 or abs(len(norm) - len(other)) > most:
-                continue
-            if _distance(norm, other) <= most:
-                links.append((k, int(j)))
+    for at, k in enumerate(fuzzy):
+        most = int((1 - similarity) * sizes[at] + 1e-9)
+        near = np.arange(np.searchsorted(sizes, sizes[at] - most), at)
+        near = near[np.abs(counts[near] - counts[at]).sum(1) <= 4 * most]
+        links += [(k, fuzzy[j]) for j in near if _distance(norms[k], norms[fuzzy[j]], most) <= most]
     label = components(range(len(norms)), links)
     keeper = {}
     for k, norm in enumerate(norms):

@@ -156,6 +156,55 @@ def test_pages(spark):
     ]
 
 
+CLASHING = {"_gone": "g", "_id": 8, "_hash": 9, "_text": "t", "_row": 1, "keep": 2}
+
+
+def test_lines_with_clashing_columns(docs):
+    frame = docs.withColumns({k: F.lit(v) for k, v in CLASHING.items()})
+    left = line_dedup.without_repeated_lines(frame)
+    assert left.columns == frame.columns
+    rows = left.collect()
+    assert all([r[k] for k in CLASHING] == list(CLASHING.values()) for r in rows)
+    assert {r.doc_id for r in rows} == {r.doc_id for r in line_dedup.without_repeated_lines(docs).collect()}
+
+
+def test_repeated_ids_with_a_map(docs):
+    frame = docs.withColumn("m", F.create_map(F.lit("k"), F.col("n_chars")))
+    kept = minhash_dedup.one_of_each(frame, 3, 85)
+    assert (kept.columns, ids(kept)) == (frame.columns, [1, 3, 4, 5, 6, 8, 9, 10, None, None])
+    assert {r.m["k"] for r in kept.collect() if r.doc_id == 8} == {1}
+
+
+def staged(spark, frame, folder):
+    """The stages one after the other, each on what the one before has written."""
+    for i, (_, function) in enumerate(corpus_pipeline.STAGES):
+        out = function(spark, frame, str(folder))
+        if i < 4:
+            assert out.columns == frame.columns
+        out.write.parquet(f"{folder}/stage_{i}")
+        frame = spark.read.parquet(f"{folder}/stage_{i}")
+    return frame.collect()
+
+
+def test_pipeline_of_odd_rows(spark, docs, labels, tmp_path):
+    clashing = {k: F.lit(v) for k, v in CLASHING.items()}
+    frame = docs.withColumns({**clashing, "m": F.create_map(F.lit("k"), F.lit(1))})
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    items = spark.createDataFrame([(1, LINE), (2, None)], "item_id long, text string")
+    items.write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = staged(spark, frame, tmp_path)
+    # 2 repeats 1, which holds an item; 7 and the second 8 are copies.
+    got = sorted((r.doc_id is None, r.doc_id or 0) for r in rows)
+    assert [i for none, i in got if not none and i not in (6, 9)] == [3, 4, 5, 8, 10]
+    assert all(r.n_tokens >= 0 for r in rows)
+
+
+def test_pipeline_of_empty_tables(spark, docs, labels, tmp_path):
+    labels.where("false").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert staged(spark, docs.where("false"), tmp_path) == []
+
+
 def test_empty_tables(spark, docs, labels):
     none, unlabelled = docs.where("false"), labels.where("false")
     items = spark.createDataFrame([], "item_id long, text string")
