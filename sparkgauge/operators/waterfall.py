@@ -1,10 +1,11 @@
 """Waterfall of small work units from a text log: islands of a stage and lanes inside them."""
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkgauge.operators.joins import salted_join
-from sparkgauge.operators.ordered import PIECE, Running, ordered_scan, row_numbers
+from sparkgauge.operators.ordered import PIECE, add_piece, row_numbers
+from sparkgauge.session import materialize
 from sparkgauge.sources.event_log import file_position
 
 NETWORK, COMPUTE = 1, 2
@@ -82,17 +83,40 @@ def islands(
     """
     order = order or ["pos"]
     kept = parsed.where(F.col("kind").isNotNull() & _readable())
-    before = ordered_scan(
-        kept, ["file"], order, {"_prev": Running("last", F.col("stage_id"))}, pieces, cut_on
-    ).rows
-    changed = (
-        F.col("stage_id").isNotNull() & (F.col("stage_id") != F.coalesce("_prev", F.lit(0)))
-    ).cast("long")
-    opened = before.withColumn("_changed", changed).drop("_prev")
-    numbered = ordered_scan(
-        opened, ["file"], order, {"island": Running("sum", F.col("_changed"), inclusive=True)}, pieces
-    ).rows
-    return numbered.drop("_changed", PIECE)
+    rows = kept if PIECE in kept.columns else add_piece(kept, cut_on or order[0], pieces)
+    # Inside a piece: changes after its first compute line, and whether that line has come yet.
+    here = Window.partitionBy("file", PIECE).orderBy(*order)
+    before = F.last("stage_id", ignorenulls=True).over(here.rowsBetween(Window.unboundedPreceding, -1))
+    to_here = here.rowsBetween(Window.unboundedPreceding, 0)
+    changed = F.coalesce((F.col("stage_id") != F.col("_before")).cast("long"), F.lit(0).cast("long"))
+    scanned = rows.withColumn("_before", before).select(
+        *rows.columns,
+        F.sum(changed).over(to_here).alias("_changes"),
+        (F.count("stage_id").over(to_here) > 0).alias("_begun"),
+    )
+    # A piece's state is (first stage, last stage, changes). Two neighbours combine to (first of the
+    # left, last of the right, both changes and one more if last and first differ), whatever the
+    # grouping, so what comes before a piece is a running value over one small row per piece.
+    at = F.when(F.col("stage_id").isNotNull(), F.struct(*order))
+    states = scanned.groupBy("file", PIECE).agg(
+        F.min_by("stage_id", at).alias("_first"),
+        F.max_by("stage_id", at).alias("_last"),
+        F.max("_changes").alias("_inside"),
+    )
+    earlier = Window.partitionBy("file").orderBy(PIECE).rowsBetween(Window.unboundedPreceding, -1)
+    entered = F.coalesce(
+        (F.col("_first") != F.coalesce(F.last("_last", ignorenulls=True).over(earlier), F.lit(0))).cast("long"),
+        F.lit(0).cast("long"),
+    )
+    states = states.withColumn("_entered", entered)
+    carried = states.select(
+        "file",
+        PIECE,
+        "_entered",
+        F.coalesce(F.sum(F.col("_inside") + F.col("_entered")).over(earlier), F.lit(0)).alias("_carried"),
+    )
+    island = F.col("_carried") + F.col("_changes") + F.when(F.col("_begun"), F.col("_entered")).otherwise(0)
+    return scanned.join(carried, ["file", PIECE]).select(*kept.columns, island.alias("island"))
 
 
 def waterfall(
@@ -106,8 +130,9 @@ def waterfall(
     first = parsed.groupBy("file").agg(
         F.min_by("start_ms", F.struct(*order)).alias("first_start")
     )
+    # Ranging by start samples its input, so the islands are written first.
     laned = row_numbers(
-        islands(parsed, order, cut_on, pieces),
+        materialize(islands(parsed, order, cut_on, pieces), "islands"),
         ["file", "island"],
         ["start_ms", *order],
         "lane",

@@ -1,5 +1,6 @@
 """Every operator as a query over the given tables: name -> (spark, sf_dir) -> DataFrame."""
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,8 +10,9 @@ from sparkgauge.functions.units import BIT_UNITS, scaled
 from sparkgauge.operators import attribution, ideal, monitor, rollup, stats, utilization
 from sparkgauge.operators import waterfall as lanes
 from sparkgauge.operators.tasks import task_summary_text, tasks_from_events, with_input_size
+from sparkgauge.plans import experiments as runs_of
 from sparkgauge.plans import fixtures, reports
-from sparkgauge.session import materialize
+from sparkgauge.session import materialize, run_dir
 from sparkgauge.sinks import text
 from sparkgauge.sources import event_log, experiments, monitor_log
 
@@ -68,15 +70,22 @@ def _runtimes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _experiment_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Started jobs with the query and branch their application stands for."""
-    return fixtures.with_app_no(_jobs(spark, sf_dir)).select(
-        "app_id",
-        "job_id",
-        F.lower(F.expr(fixtures.QUERY_OF_APP)).alias("query"),
-        F.expr(fixtures.BRANCH_OF_APP).alias("branch"),
+    """Started jobs with the query and branch that the directory of their log names."""
+    jobs = _jobs(spark, sf_dir)
+    folders = fixtures.with_app_no(jobs).withColumn("folder", F.expr(fixtures.FOLDERS["benchmark"])).drop("app_no")
+    params = experiments.run_params(folders.select(F.col("folder").alias("app_id")), "benchmark")
+    return folders.join(params.withColumnRenamed("app_id", "folder"), "folder").select(
+        "app_id", "job_id", "query", "branch"
     )
 
 
+def _runs(spark: SparkSession, sf_dir: str, kind: str) -> runs_of.Runs:
+    """Tasks and jobs of runs that are told apart by the directories of their logs."""
+    tasks = fixtures.in_folders(fixtures.tasks(spark, sf_dir), kind)
+    stages = fixtures.in_folders(fixtures.job_stages(spark, sf_dir), kind)
+    return runs_of.Runs(tasks, stages, experiments.run_params(stages, kind))
+
+
 # --- log decoding and task columns ---------------------------------------------------------
 
 _NOT_FLAT = ("pos", "disks")
@@ -139,6 +148,75 @@ def s1_s5_one_pass(spark, sf_dir):
     )
 
 
+@query
+def s4_s5_odd_lines(spark, sf_dir):
+    """Fields of another type, bare NaN, repeated keys, text after the object: per application, what
+    each reader of a log makes of the same lines."""
+    lines = fixtures.event_lines(spark, sf_dir)
+    key = F.col("pos.l_partkey") + F.col("pos.l_suppkey")
+    value = F.col("value")
+
+    def put(text, field, to):
+        return F.regexp_replace(text, f'"{field}":[-0-9.E]+', f'"{field}":{to}')
+
+    half = put(value, "JVM GC Time", "7.5")
+    twice = F.regexp_replace(value, '"Stage ID":', '"Stage ID":-1,"Stage ID":')
+    other = F.regexp_replace(put(twice, "JVM GC Time", "NaN"), "SparkListenerTaskEnd", "SparkListenerTaskStart")
+    odd = (
+        F.when(key % 29 == 0, F.substring(value, F.lit(1), F.length(value) - 9))
+        .when(key % 17 == 0, put(value, "JVM GC Time", "NaN"))
+        .when(key % 19 == 0, put(half, "Bytes Received Per Second", "NaN"))
+        .when(key % 23 == 0, F.regexp_replace(half, '"Stage ID":', '"Stage ID":-1,"Stage ID":'))
+        .when(key % 7 == 0, other)
+        .when(key % 11 == 0, put(twice, "Bytes Received Per Second", "-Infinity"))
+        .when(key % 13 == 0, F.concat(value, F.lit("{}")))
+        .otherwise(value)
+    )
+    lines = materialize(lines.withColumn("value", odd), "odd_lines")
+    table = event_log.event_table(lines)
+    counted = [
+        event_log.task_end_events(lines).select(
+            "app_id", F.lit("tasks").alias("reader"), F.col("event.Task Metrics.JVM GC Time").alias("gc")
+        ),
+        event_log.odd_tasks(lines).select("app_id", F.lit("odd_tasks"), F.lit(None).cast("long")),
+        event_log.bad_lines(lines).select("app_id", F.lit("bad_lines"), F.lit(None).cast("long")),
+        table.select("app_id", F.concat(F.lit("table_"), "kind"), F.col("event.Task Metrics.JVM GC Time")),
+    ]
+    rows = counted[0]
+    for part in counted[1:]:
+        rows = rows.union(part)
+    return rows.groupBy("app_id", "reader").agg(F.count(F.lit(1)).alias("n"), F.sum("gc").alias("sum_gc"))
+
+
+@query
+def s1_s2_event_files(spark, sf_dir):
+    """Rolled, compressed logs read from files: lines, tasks, and the first and last task in log order."""
+    lines = event_log.read_lines(spark, f"{fixtures.event_files(spark, sf_dir)}/eventlog_v2_*/events_*")
+    tasks = tasks_from_events(event_log.task_end_events(lines))
+    return tasks.groupBy(F.regexp_extract("app_id", "eventlog_v2_([^/]*)$", 1).alias("app_id")).agg(
+        F.count(F.lit(1)).alias("n_tasks"),
+        F.countDistinct("pos").alias("n_places"),
+        F.min_by("task_id", "pos").alias("first_task"),
+        F.max_by("task_id", "pos").alias("last_task"),
+        F.sum("runtime_ms").alias("runtime_ms"),
+    )
+
+
+@query
+def f1_two_phase_tasks(spark, sf_dir):
+    """A job filter first; only task lines of its stages are decoded whole."""
+    kept = attribution.filter_jobs(
+        fixtures.job_stages(spark, sf_dir), lambda jobs: jobs.where(F.col("job_id") % 4 == 1)
+    )
+    kept = materialize(kept, "kept_stages")
+    events = event_log.task_end_events_of(fixtures.event_lines(spark, sf_dir), kept)
+    return (
+        attribution.attach_jobs(tasks_from_events(events), kept)
+        .groupBy("app_id", "job_id")
+        .agg(F.count(F.lit(1)).alias("n_tasks"), F.sum("runtime_ms").alias("runtime_ms"))
+    )
+
+
 @query
 def s5_mixed_log_events(spark, sf_dir):
     """Event dispatch: task ends out of a log that also holds job starts and other events."""
@@ -520,36 +598,49 @@ def g6_estimate_report(spark, sf_dir):
     )
 
 
-def _systems(spark, sf_dir):
-    return fixtures.with_app_no(_jobs(spark, sf_dir)).select(
-        "app_id",
-        "job_id",
-        F.expr(fixtures.BRANCH_OF_APP).alias("system"),
-        F.expr("100 * (1 + app_no % 3)").alias("num_tasks"),
-    )
-
-
 @query
 def g7_a19_a21_num_tasks(spark, sf_dir):
-    return rounded(
-        reports.num_tasks_report(_runtimes(spark, sf_dir), _systems(spark, sf_dir), 1)
-    )
+    return rounded(runs_of.system_runs(_runs(spark, sf_dir, "systems"), 1))
 
 
 @query
 def g7_compare_systems(spark, sf_dir):
-    report = materialize(
-        reports.num_tasks_report(_runtimes(spark, sf_dir), _systems(spark, sf_dir), 1), "num_tasks"
-    )
+    report = materialize(runs_of.system_runs(_runs(spark, sf_dir, "systems"), 1), "num_tasks")
     return rounded(reports.compare_systems(report, "left", "right"))
 
 
 @query
 def g8_a20_threads_box(spark, sf_dir):
-    jobs = fixtures.with_app_no(_jobs(spark, sf_dir)).select(
-        "app_id", "job_id", F.expr("1 + app_no % 4").alias("threads")
+    return rounded(runs_of.disk_runs(_runs(spark, sf_dir, "disk"), 1))
+
+
+@query
+def k7_g3_sort_runs(spark, sf_dir):
+    """Sort report keyed by what the runs' directories say."""
+    return rounded(runs_of.sort_runs(_runs(spark, sf_dir, "sort")).drop("app_id"), FINE_DIGITS)
+
+
+@query
+def g4_sweep_runs(spark, sf_dir):
+    return rounded(runs_of.sweep_runs(_runs(spark, sf_dir, "sweep")).drop("app_id"), FINE_DIGITS)
+
+
+@query
+def g5_log_reports(spark, sf_dir):
+    """Resource, utilization and ideal rows of every log of a benchmark, after its warm-up."""
+    jobs = _experiment_jobs(spark, sf_dir)
+    return rounded(
+        runs_of.log_reports(fixtures.tasks(spark, sf_dir), fixtures.job_stages(spark, sf_dir), jobs, 1)
     )
-    return rounded(reports.threads_report(_runtimes(spark, sf_dir), jobs, 1))
+
+
+@query
+def g1_default_report(spark, sf_dir):
+    """The default report, written under a run id and read back, as one long table."""
+    outputs = reports.default_report(fixtures.tasks(spark, sf_dir), fixtures.job_stages(spark, sf_dir))
+    folder, run_id = f"{run_dir(spark)}/reports", uuid.uuid4().hex
+    text.write_report(outputs, folder, run_id)
+    return rounded(runs_of.default_figures(text.read_report(spark, folder, run_id)))
 
 
 # --- monitor -------------------------------------------------------------------------------
@@ -597,6 +688,39 @@ def s8_s9_decoded_monitor(spark, sf_dir):
     )
 
 
+@query
+def s9_odd_ticks(spark, sf_dir):
+    """Ticks with a rate that is no number, a fractional byte count and a repeated key end no file."""
+    ticks = fixtures.monitor_ticks(spark, sf_dir)
+    line = F.to_json("sample")
+    half = F.regexp_replace(line, '"Outstanding Network Bytes":[0-9]+', '"Outstanding Network Bytes":5.5')
+    odd = F.regexp_replace(half, '"Bytes Received Per Second":[^,}]+', '"Bytes Received Per Second":NaN')
+    twice = F.regexp_replace(line, '"Current Time":', '"Current Time":0,"Current Time":')
+    value = F.when(F.col("event_id") % 50 == 3, odd).when(F.col("event_id") % 50 == 4, twice).otherwise(line)
+    whole = monitor_log.whole_samples(
+        monitor_log.decode_samples(ticks.select("host", "pos", value.alias("value")))
+    )
+    return whole.groupBy("host").agg(
+        F.count(F.lit(1)).alias("n_ticks"),
+        F.count("sample.`Outstanding Network Bytes`").alias("n_outstanding"),
+        F.sum("sample.`Current Time`").alias("sum_time_ms"),
+    )
+
+
+@query
+def s8_monitor_files(spark, sf_dir):
+    """Monitor logs read from files: ticks per host, and the first and last in file order."""
+    folder = fixtures.monitor_files(spark, sf_dir)
+    lines = monitor_log.read_monitor_lines(spark, f"{folder}/logs")
+    whole = monitor_log.whole_samples(monitor_log.decode_samples(lines))
+    time = F.col("sample.`Current Time`")
+    return whole.groupBy(F.regexp_extract("host", "([^/]*)_executor_monitor$", 1).alias("host")).agg(
+        F.count(F.lit(1)).alias("n_ticks"),
+        F.min_by(time, "pos").alias("first_ms"),
+        F.max_by(time, "pos").alias("last_ms"),
+    )
+
+
 @query
 def p21_monitor_panels(spark, sf_dir):
     samples = monitor.finite_samples(_relative(spark, sf_dir))
@@ -663,6 +787,7 @@ def x3_x4_scaled_units(spark, sf_dir):
             "o_orderkey",
             scaled(F.col("size"))["value"].alias("bytes_value"),
             scaled(F.col("size"))["unit"].alias("bytes_unit"),
+            scaled(F.col("size"), BIT_UNITS)["value"].alias("bits_value"),
             scaled(F.col("size"), BIT_UNITS)["unit"].alias("bits_unit"),
         )
     )

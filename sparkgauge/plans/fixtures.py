@@ -4,12 +4,14 @@ The expressions are plain SQL that Spark and DuckDB read alike; `oracle.py` puts
 texts into its queries. Only the *inputs* are shared, never a result.
 """
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkgauge import schemas
 from sparkgauge.operators.tasks import task_columns
-from sparkgauge.session import materialize
+from sparkgauge.session import materialize, run_dir
 
 # Helper columns over lineitem.
 BASE = {
@@ -302,6 +304,62 @@ def with_app_no(df: DataFrame) -> DataFrame:
     return df.withColumn("app_no", F.expr(APP_NO))
 
 
+# Directories of runs, as experiments name them: what a run was started with, by application.
+FOLDERS = {
+    "sort": "concat('file:/runs/a_b_', CAST(100 * (1 + app_no % 3) AS STRING), '_d_', CAST(9 - app_no AS STRING), '_', CAST(10 * (1 + app_no % 2) AS STRING), '_x')",
+    "sweep": "concat('file:/runs/experiment_log_', CAST(7 * (app_no + 1) AS STRING), '_x')",
+    "systems": f"concat('file:/runs/', {BRANCH_OF_APP}, '/experiment_log_20_', CAST(100 * (1 + app_no % 3) AS STRING), '_x')",
+    "disk": "concat('file:/runs/experiment_log_disk_', CAST(1 + app_no % 4 AS STRING), '_', CAST(app_no AS STRING))",
+    "benchmark": f"concat('file:/results/', {QUERY_OF_APP}, '/', {BRANCH_OF_APP})",
+}
+
+
+def in_folders(df: DataFrame, kind: str) -> DataFrame:
+    """`df` with the directory of each application's log as its id."""
+    return with_app_no(df).withColumn("app_id", F.expr(FOLDERS[kind])).drop("app_no")
+
+
+def _renamed(spark: SparkSession, folder: str, name_of) -> str:
+    """Give the part files below `folder` the names of a log: name_of(partition values)."""
+    files = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    system = files(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = system.listFiles(files(folder), True)
+    parts = []
+    while found.hasNext():
+        path = found.next().getPath()
+        if path.getName().startswith("part-"):
+            parts.append(path)
+    for path in parts:
+        values = dict(x.split("=", 1) for x in path.toString().split("/") if "=" in x)
+        target = files(f"{folder}/{name_of(values)}")
+        system.mkdirs(target.getParent())
+        system.rename(path, target)
+    return folder
+
+
+def event_files(spark: SparkSession, sf_dir: str, rolls: int = 3) -> str:
+    """A folder of event logs: a directory for each application, with rolled, compressed files."""
+    events = task_end_events(raw_tasks(spark, sf_dir))
+    start = F.col("pos.finish_ms")
+    whole = events.agg(F.max(start)).first()[0] or 0
+    lines = events.select(
+        "app_id", (1 + F.floor(start * rolls / F.lit(whole + 1))).cast("int").alias("roll"), "pos",
+        F.to_json("event").alias("value"),
+    )
+    folder = f"{run_dir(spark)}/event-files-{uuid.uuid4().hex}"
+    (
+        lines.repartition(rolls * 6, "app_id", "roll")
+        .sortWithinPartitions("app_id", "roll", "pos")
+        .select("app_id", "roll", "value")
+        .write.partitionBy("app_id", "roll")
+        .option("compression", "gzip")
+        .text(folder)
+    )
+    return _renamed(
+        spark, folder, lambda v: f"eventlog_v2_{v['app_id']}/events_{v['roll']}_{v['app_id']}.gz"
+    )
+
+
 # --- monitor samples from events -----------------------------------------------------------
 
 MONITOR = {
@@ -386,6 +444,20 @@ def monitor_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def monitor_files(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of monitor logs, one file per host."""
+    ticks = monitor_ticks(spark, sf_dir)
+    folder = f"{run_dir(spark)}/monitor-files-{uuid.uuid4().hex}"
+    (
+        ticks.repartition(5, "host")
+        .sortWithinPartitions("host", "pos")
+        .select("host", F.to_json("sample").alias("value"))
+        .write.partitionBy("host")
+        .text(folder)
+    )
+    return _renamed(spark, folder, lambda v: f"logs/{v['host']}_executor_monitor")
+
+
 # --- small work units from events ----------------------------------------------------------
 
 def work_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -438,6 +438,13 @@ g6_estimate_report g9_p20_monitor_samples
 """.split()
 
 
+_ODD_LINE = """CASE WHEN (l_partkey + l_suppkey) % 29 = 0 THEN 'broken'
+  WHEN (l_partkey + l_suppkey) % 17 = 0 OR (l_partkey + l_suppkey) % 19 = 0 OR (l_partkey + l_suppkey) % 23 = 0 THEN 'odd'
+  WHEN (l_partkey + l_suppkey) % 7 = 0 THEN 'other'
+  WHEN (l_partkey + l_suppkey) % 11 = 0 THEN 'rate'
+  WHEN (l_partkey + l_suppkey) % 13 = 0 THEN 'broken' ELSE 'plain' END"""
+
+
 def oracle_sql() -> dict[str, str]:
     weighted_ref = _weighted(_PAIRS, "app_id, measure", "reference")
     weighted_std = _weighted(_PAIRS, "app_id, measure", "standard")
@@ -489,6 +496,32 @@ ph AS (
             _TASKS,
             body="SELECT app_id, CASE WHEN (l_partkey + l_suppkey) % 11 = 0 THEN 'broken' ELSE 'task' END AS kind, count(*) AS n, CAST(sum(CASE WHEN (l_partkey + l_suppkey) % 11 <> 0 THEN task_id END) AS BIGINT) AS sum_task_id FROM tk WHERE (l_partkey + l_suppkey) % 11 = 0 OR (l_partkey + l_suppkey) % 13 <> 0 GROUP BY ALL",
         ),
+        "s4_s5_odd_lines": _with(
+            _TASKS,
+            f"kk AS (SELECT app_id, gc_ms, {_ODD_LINE} AS line FROM tk)",
+            body="""
+              SELECT app_id, 'tasks' AS reader, count(*) AS n, CAST(sum(CASE WHEN line IN ('plain', 'rate') THEN gc_ms END) AS BIGINT) AS sum_gc FROM kk WHERE line IN ('plain', 'rate', 'odd') GROUP BY app_id
+              UNION ALL SELECT app_id, 'table_task', count(*), CAST(sum(CASE WHEN line IN ('plain', 'rate') THEN gc_ms END) AS BIGINT) FROM kk WHERE line IN ('plain', 'rate', 'odd') GROUP BY app_id
+              UNION ALL SELECT app_id, 'odd_tasks', count(*), NULL FROM kk WHERE line = 'odd' GROUP BY app_id
+              UNION ALL SELECT app_id, 'bad_lines', count(*), NULL FROM kk WHERE line = 'broken' GROUP BY app_id
+              UNION ALL SELECT app_id, 'table_broken', count(*), NULL FROM kk WHERE line = 'broken' GROUP BY app_id""",
+        ),
+        "s1_s2_event_files": _with(
+            _TASKS,
+            body="SELECT app_id, count(*) AS n_tasks, count(*) AS n_places, first(task_id ORDER BY pos) AS first_task, last(task_id ORDER BY pos) AS last_task, CAST(sum(runtime_ms) AS BIGINT) AS runtime_ms FROM tk GROUP BY app_id",
+        ),
+        "f1_two_phase_tasks": _with(
+            *_JT,
+            body="SELECT app_id, job_id, count(*) AS n_tasks, CAST(sum(runtime_ms) AS BIGINT) AS runtime_ms FROM jt WHERE job_id % 4 = 1 GROUP BY app_id, job_id",
+        ),
+        "s9_odd_ticks": _with(
+            _MONITOR,
+            body="SELECT host, count(*) AS n_ticks, count(CASE WHEN event_id % 50 <> 3 THEN outstanding END) AS n_outstanding, CAST(sum(time_ms) AS BIGINT) AS sum_time_ms FROM tick GROUP BY host",
+        ),
+        "s8_monitor_files": _with(
+            _MONITOR,
+            body="SELECT host, count(*) AS n_ticks, first(time_ms ORDER BY time_ms, event_id) AS first_ms, last(time_ms ORDER BY time_ms, event_id) AS last_ms FROM tick GROUP BY host",
+        ),
         "s5_mixed_log_events": _with(
             _TASKS,
             body="SELECT app_id, count(*) AS n_tasks, CAST(sum(task_id) AS BIGINT) AS sum_task_id FROM tk WHERE l_linenumber <> 7 GROUP BY app_id",
@@ -689,9 +722,94 @@ ph AS (
     sql["x3_x4_scaled_units"] = _units()
     for name in _FINE:
         sql[name] = sql[name].replace(", 6)", ", 9)")
+    of_app = "SELECT *, CAST(substr(app_id, 5) AS BIGINT) AS app_no FROM"
+    sql["k7_g3_sort_runs"] = (
+        "SELECT 100 * (1 + app_no % 3) AS num_tasks, 9 - app_no AS run_order, 10 * (1 + app_no % 2) AS num_shuffle_values, "
+        f"g.* EXCLUDE (app_id, app_no) FROM ({of_app} ({sql['g3_sort_phases']})) g"
+    )
+    sql["g4_sweep_runs"] = (
+        f"SELECT 7 * (app_no + 1) AS number, g.* EXCLUDE (app_id, app_no) FROM ({of_app} ({sql['g4_k8_task_sweep']})) g"
+    )
+    sql["g5_log_reports"], sql["g1_default_report"] = _figures(weighted_ref)
     return sql
 
 
+_RESOURCES = "elapsed_ms n_tasks cpu_ms hdfs_deser_ms hdfs_ser_ms tx_bytes tx_idle_ms gc_ms"
+_JOB_RESOURCES = f"sj AS (SELECT app_id, job_id, executor_id, {', '.join(f'sum({c}) AS {c}' for c in _RESOURCES.split())} FROM em GROUP BY app_id, job_id, executor_id)"
+_JOB_DISKS = """jd AS (
+  SELECT app_id, job_id, executor_id, disk, sum(elapsed_ms) AS elapsed_ms, sum(bytes_read) AS bytes_read, sum(bytes_written) AS bytes_written, sum(millis_total) AS millis_total
+  FROM ee GROUP BY app_id, job_id, executor_id, disk
+)"""
+
+
+def _long(source: str, report: str, keys: str, figures: str) -> str:
+    """One row per figure with a value; `keys` names the ones that the report has."""
+    own = dict.fromkeys("job_id stage_id executor_id measure".split(), "NULL")
+    own |= dict(k.split("=") if "=" in k else (k, k) for k in keys.split())
+    kinds = {"job_id": "BIGINT", "stage_id": "BIGINT", "executor_id": "VARCHAR", "measure": "VARCHAR"}
+    columns = ", ".join(f'CAST({of} AS {kinds[k]}) AS {k}' for k, of in own.items())
+    rows = " UNION ALL ".join(
+        f"SELECT app_id, '{report}' AS report, {columns}, '{f}' AS figure, round(CAST({f} AS DOUBLE), 6) AS value FROM {source}"
+        for f in figures.split()
+    )
+    return f"SELECT * FROM ({rows}) WHERE value IS NOT NULL"
+
+
+def _figures(weighted: tuple[str, str]) -> tuple[str, str]:
+    measured = (
+        _EXPERIMENTS,
+        "fj AS (SELECT app_id, job_id FROM ej JOIN ranked USING (app_id, job_id) WHERE job_rank > CASE WHEN query = '1a' THEN 1 ELSE 2 END)",
+        _JOB_TASKS.replace("jt AS (", "jt_every AS (", 1),
+        "jt AS (SELECT e.* FROM jt_every e SEMI JOIN fj ON fj.app_id = e.app_id AND fj.job_id = e.job_id)",
+    )
+    shared = (_METRICS, _DISKS, _models(), _JOB_RESOURCES, weighted[0])
+    share = "n p5 p25 p50 p75 p95 p99 mean"
+    ideal = "ideal_cpu_s ideal_network_s ideal_disk_s ser_deser_s ideal_s"
+    stage, executor = "job_id stage_id", "executor_id"
+    logs = [
+        _long("em", "stage_resources", f"{stage} {executor}", _RESOURCES),
+        _long("sj", "job_resources", f"job_id {executor}", _RESOURCES),
+        _long("wp", "utilizations", "measure", share),
+        _long("mo", "ideal_stage", stage, ideal),
+        _long("mj", "ideal_job", "job_id", "ideal_s actual_s total_stage_s"),
+    ]
+    shares = f"wp AS ({weighted[1]})"
+    whole = "n p5 p25 p50 p75 p95 min max"
+    spans = (
+        f"sp AS (SELECT {_KE}, min(launch_ms) AS first_ms, max(finish_ms) AS last_ms FROM jt GROUP BY {_KE})",
+        f"lb AS (SELECT {_KS}, max(last_ms) - min(first_ms) AS runtime_ms, CAST(sum(last_ms - first_ms) AS BIGINT) // count(*) AS ideal_ms FROM sp GROUP BY {_KS})",
+        "lc AS (SELECT *, runtime_ms / nullif(CAST(ideal_ms AS DOUBLE), 0) AS badness FROM lb)",
+        f"s1 AS ({_summary('jt', 'app_id', 'runtime_ms')})",
+        f"s2 AS ({_summary('runtimes', 'app_id', 'runtime_ms')})",
+        f"s3 AS ({_summary('lc', 'app_id', 'badness')})",
+    )
+    checks = f"""ck AS (
+  SELECT * , abs(other - base) / base AS rel_diff FROM (
+    SELECT {_KS}, 'cpu_ms' AS "check", CAST(compute_ms AS DOUBLE) AS base, CAST(os_cpu_ms AS DOUBLE) AS other FROM mo
+    UNION ALL SELECT {_KS}, 'network_mb', CAST(network_mb AS DOUBLE), floor(tx_bytes / CAST(1048576 AS DOUBLE)) FROM mo
+  ) WHERE base > 0
+)"""
+    disk = "bytes_read bytes_written millis_total utilization effective_Bps"
+    rated = "*, millis_total / nullif(CAST(elapsed_ms AS DOUBLE), 0) AS utilization"
+    speed = "CASE WHEN millis_total = 0 THEN 0 ELSE (bytes_read + bytes_written) / CAST(millis_total AS DOUBLE) * 1000 END AS effective_Bps"
+    default = [
+        _long("s1", "task_runtimes", "", whole),
+        _long("s2", "runtimes", "", whole),
+        _long("s3", "load_balance", "", whole),
+        logs[0].replace("'stage_resources'", "'stage_resource_metrics'"),
+        logs[1].replace("'job_resources'", "'job_resource_metrics'"),
+        *logs[2:],
+        _long("e1", "stage_disks", f"{stage} {executor} measure=disk", disk),
+        _long("e2", "job_disks", f"job_id {executor} measure=disk", disk),
+        _long("ck", "counter_checks", f'{stage} measure="check"', "base other rel_diff"),
+    ]
+    disks = (_JOB_DISKS, f"e1 AS (SELECT {rated} FROM ee)", f"e2 AS (SELECT {rated}, {speed} FROM jd)")
+    return (
+        _with(_TASKS, _JOB_STAGES, *measured, *shared, shares, body=" UNION ALL ".join(logs)),
+        _with(*_ST, *shared, shares, *spans, *disks, checks, body=" UNION ALL ".join(default)),
+    )
+
+
 def _balance() -> tuple[str, str]:
     spans = (
         f"sp AS (SELECT {_KE}, min(launch_ms) AS first_ms, max(finish_ms) AS last_ms FROM jt GROUP BY {_KE})",
@@ -730,5 +848,6 @@ def _units() -> str:
         f"WITH s AS (SELECT o_orderkey, {size} AS size FROM orders) SELECT o_orderkey, "
         f"round({choose(lambda f, p: f'size / {f}')}, 6) AS bytes_value, "
         + choose(lambda f, p: "'" + ["B", "KB", "MB", "GB", "TB"][p] + "'") + " AS bytes_unit, "
+        + f"round({choose(lambda f, p: f'size / {f}')}, 6) AS bits_value, "
         + choose(lambda f, p: "'" + ["b", "Kb", "Mb", "Gb", "Tb"][p] + "'") + " AS bits_unit FROM s"
     )

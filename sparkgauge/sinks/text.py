@@ -1,7 +1,11 @@
 """Report text of executor metrics, and writers."""
 
-from pyspark.sql import Column, DataFrame
+import json
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkgauge.functions.units import bits_text, bytes_text
 
@@ -112,5 +116,36 @@ def write_rows(
     writer.csv(path)
 
 
-def append_rows(df: DataFrame, path: str) -> None:
-    write_rows(df, path, header=False, mode="append")
+def append_rows(df: DataFrame, path: str, run_id: str) -> None:
+    """Rows of one run beside those of others. A repeated append of a run replaces its rows."""
+    write_rows(df, f"{path}/run={run_id}", header=False, mode="overwrite")
+
+
+MANIFEST = "manifest"
+
+
+def write_report(outputs: dict[str, DataFrame], path: str, run_id: str) -> None:
+    """All outputs of a run below path/run_id, with a manifest that is written last: a run without
+    one is not complete. A repeated write takes the manifest away first and replaces everything."""
+    spark = next(iter(outputs.values())).sparkSession
+    folder = f"{path}/{run_id}"
+    manifest = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{MANIFEST}")
+    manifest.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(manifest, True)
+    for name, df in outputs.items():
+        df.write.mode("overwrite").parquet(f"{folder}/{name}")
+    listed = [(name, df.schema.json()) for name, df in outputs.items()]
+    rows = spark.createDataFrame(listed, "name string, fields string")
+    rows.coalesce(1).write.mode("overwrite").json(f"{folder}/{MANIFEST}")
+
+
+def read_report(spark: SparkSession, path: str, run_id: str) -> dict[str, DataFrame]:
+    """The outputs of a complete run."""
+    folder = f"{path}/{run_id}"
+    try:
+        listed = spark.read.schema("name string, fields string").json(f"{folder}/{MANIFEST}").collect()
+    except AnalysisException as missing:
+        raise ValueError(f"run {run_id} below {path} is not complete") from missing
+    return {
+        r.name: spark.read.schema(T.StructType.fromJson(json.loads(r.fields))).parquet(f"{folder}/{r.name}")
+        for r in listed
+    }

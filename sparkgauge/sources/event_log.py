@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkgauge import schemas
+from sparkgauge.operators.joins import salted_join
 from sparkgauge.session import materialize
 
 # Row numbers restart in every scan partition, byte offsets in every file. A log beyond these
@@ -52,22 +53,38 @@ def read_lines(spark: SparkSession, paths, **options) -> DataFrame:
     )
 
 
-def whole(corrupt: Column) -> Column:
-    """True for a whole JSON object. Spark also keeps the text as corrupt when one field has
-    another type than declared; that field is NULL then and the rest is good, so syntax decides."""
-    return corrupt.isNull() | (
-        F.ltrim(corrupt).startswith("{") & F.try_parse_json(corrupt).isNotNull()
+#: As the logs' own readers take it: bare NaN and Infinity, repeated keys (the last one counts).
+JSON_OPTIONS = {"columnNameOfCorruptRecord": "_corrupt", "allowSingleQuotes": "false"}
+
+
+def whole(value: Column, corrupt: Column | None = None) -> Column:
+    """True for exactly one whole JSON object, whatever the types of its fields.
+
+    Spark also keeps a text as `corrupt` when one field has another type than declared; that field
+    is NULL then and the rest is good. So a corrupt text, as one that may hold two objects, is
+    parsed again without types, as the only element of an array of plain maps.
+    """
+    alone = F.from_json(
+        F.concat(F.lit("["), value, F.lit("]")), "array<map<string,string>>", {"allowSingleQuotes": "false"}
     )
+    syntax = (F.size(alone) == 1) & F.get(alone, 0).isNotNull()
+    closed = F.rtrim(value, F.lit(" \t\r")).endswith("}")
+    if corrupt is None:
+        return F.coalesce(closed & syntax, F.lit(False))
+    sound = corrupt.isNull() & ~value.contains("}{")
+    return F.coalesce(closed & (sound | syntax), F.lit(False))
+
+
+def _parsed(schema, value: str | Column = "value") -> Column:
+    return F.from_json(value, schemas.with_corrupt(schema), JSON_OPTIONS)
 
 
 def _decode(lines: DataFrame, event_name: str, schema) -> DataFrame:
-    decoded = F.from_json(
-        "value", schemas.with_corrupt(schema), {"columnNameOfCorruptRecord": "_corrupt"}
-    )
     # A test after the decoding would be pushed below it and decode every line again, so the
     # event is tested inside a one-element array.
     wanted = F.filter(
-        F.array(decoded), lambda e: whole(e["_corrupt"]) & (e["Event"] == event_name)
+        F.array(_parsed(schema)),
+        lambda e: whole(F.col("value"), e["_corrupt"]) & (e["Event"] == event_name),
     )
     # The text test is cheap and drops most lines before any JSON is parsed.
     return lines.where(F.col("value").contains(event_name)).select(
@@ -83,22 +100,39 @@ def task_end_events(lines: DataFrame, schema=schemas.TASK_END) -> DataFrame:
     return _decode(lines, "SparkListenerTaskEnd", schema)
 
 
+def task_end_events_of(lines: DataFrame, stages: DataFrame, schema=schemas.TASK_END) -> DataFrame:
+    """`task_end_events` of some stages only, (app_id, stage_id), decoded in two steps.
+
+    A job filter is known once the job starts are decoded. Of every task line only the kind and the
+    stage are read then, the lines of other stages go, and the rest is decoded whole. `stages` should
+    be a table: the planner knows its size and broadcasts it if that is small, so that no text
+    moves; a stage with very many tasks is spread by salts otherwise.
+    """
+    ended = "SparkListenerTaskEnd"
+    probe = schemas.fields(("Event", schemas.STRING), ("Stage ID", schemas.LONG))
+    found = F.filter(F.array(_parsed(probe)), lambda e: e["Event"] == ended)
+    staged = lines.where(F.col("value").contains(ended)).select(
+        "app_id", "pos", "value", F.explode(found).alias("event")
+    ).select("app_id", "pos", "value", F.col("event.Stage ID").alias("stage_id"))
+    kept = salted_join(
+        staged, stages.select("app_id", "stage_id").distinct(), ["app_id", "stage_id"], ["pos"], how="left_semi"
+    )
+    return _decode(kept, ended, schema)
+
+
 def job_start_events(lines: DataFrame) -> DataFrame:
     """(app_id, pos, event) of job starts."""
     return _decode(lines, "SparkListenerJobStart", schemas.JOB_START)
 
 
 def _probe(lines: DataFrame, schema, test) -> DataFrame:
-    probe = F.from_json(
-        "value", schemas.with_corrupt(schema), {"columnNameOfCorruptRecord": "_corrupt"}
-    )
-    return lines.where(F.exists(F.array(probe), test))
+    return lines.where(F.exists(F.array(_parsed(schema)), test))
 
 
 def bad_lines(lines: DataFrame) -> DataFrame:
     """Lines that are not a whole JSON object: the quarantine."""
     schema = schemas.fields(("Event", schemas.STRING))
-    return _probe(lines, schema, lambda e: e.isNull() | ~whole(e["_corrupt"]))
+    return _probe(lines, schema, lambda e: ~whole(F.col("value"), e["_corrupt"]))
 
 
 def odd_tasks(lines: DataFrame, schema=schemas.TASK_END) -> DataFrame:
@@ -110,7 +144,7 @@ def odd_tasks(lines: DataFrame, schema=schemas.TASK_END) -> DataFrame:
         schema,
         lambda e: (e["Event"] == "SparkListenerTaskEnd")
         & e["_corrupt"].isNotNull()
-        & whole(e["_corrupt"]),
+        & whole(F.col("value"), e["_corrupt"]),
     )
 
 
@@ -124,19 +158,16 @@ def event_table(lines: DataFrame) -> DataFrame:
     named = F.when(F.col("value").contains("SparkListenerTaskEnd"), "task").when(
         F.col("value").contains("SparkListenerJobStart"), "job"
     )
-    decoded = F.when(
-        named.isNotNull(),
-        F.from_json(
-            "value", schemas.with_corrupt(schema), {"columnNameOfCorruptRecord": "_corrupt"}
-        ),
+    # Of other lines only the syntax matters: their fields are skipped over.
+    decoded = F.struct(
+        F.when(named.isNotNull(), _parsed(schema)).alias("event"),
+        F.when(named.isNull(), _parsed(schemas.fields(("Event", schemas.STRING)))).alias("other"),
     )
     read = lines.select(
-        "app_id", "pos", "value", named.alias("named"), F.explode(F.array(decoded)).alias("event")
+        "app_id", "pos", "value", named.alias("named"), F.inline(F.array(decoded))
     )
     told = F.when(F.col("named") == "task", "SparkListenerTaskEnd").otherwise("SparkListenerJobStart")
-    good = F.when(
-        F.col("named").isNotNull(), F.col("event").isNotNull() & whole(F.col("event._corrupt"))
-    ).otherwise(whole(F.col("value")))
+    good = whole(F.col("value"), F.coalesce("event._corrupt", "other._corrupt"))
     kind = F.when(~good, "broken").when(F.col("event.Event") == told, F.col("named"))
     sorted_out = read.withColumn("kind", kind).where("kind is not null")
     text = F.when(F.col("kind") == "broken", F.col("value")).alias("value")

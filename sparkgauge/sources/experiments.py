@@ -90,3 +90,57 @@ def threads_per_disk(directory: Column) -> Column:
 def log_directory(path: Column) -> Column:
     """Name of the directory that holds a log file."""
     return last_path_part(F.regexp_replace(path, "/[^/]+$", ""))
+
+
+def _sweep(directory: Column, _: Column) -> dict[str, Column]:
+    return {"number": sweep_number(directory)}
+
+
+def _systems(directory: Column, above: Column) -> dict[str, Column]:
+    return {"system": above, "num_tasks": sweep_num_tasks(directory)}
+
+
+def _disk(directory: Column, _: Column) -> dict[str, Column]:
+    return {"threads": threads_per_disk(directory)}
+
+
+def _benchmark(directory: Column, above: Column) -> dict[str, Column]:
+    return {"query": F.lower(above), "branch": directory}
+
+
+#: What a run's directory, and the one above it, say about the run, by kind of experiment.
+KINDS = {
+    "sort": lambda directory, _: sort_params(directory),
+    "sweep": _sweep,
+    "systems": _systems,
+    "disk": _disk,
+    "benchmark": _benchmark,
+}
+
+
+def run_params(runs: DataFrame, kind: str) -> DataFrame:
+    """(app_id, parameters...) of the runs of an experiment: a small table to join reports with.
+
+    `runs` has app_id, the directory of each run's log. A parameter that its name does not carry is
+    NULL (`unnamed_runs`).
+    """
+    directory = last_path_part(F.col("app_id"))
+    above = last_path_part(F.regexp_replace("app_id", "/[^/]*$", ""))
+    params = KINDS[kind](directory, above)
+    return runs.select("app_id").distinct().select(
+        "app_id", *[column.alias(name) for name, column in params.items()]
+    )
+
+
+def unnamed_runs(params: DataFrame) -> DataFrame:
+    """Runs whose directories do not carry all parameters."""
+    carried = F.lit(True)
+    for name in params.columns[1:]:
+        carried = carried & F.col(name).isNotNull()
+    return params.where(~carried)
+
+
+def run_directories(spark: SparkSession, root: str, pattern: str = "event_log") -> DataFrame:
+    """(app_id) of the runs below `root`: directories that hold an event log."""
+    files = list_files(spark, root, pattern)
+    return files.select(F.regexp_replace("path", "/[^/]+$", "").alias("app_id")).distinct()

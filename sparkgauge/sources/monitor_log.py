@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from sparkgauge import schemas
 from sparkgauge.operators.joins import salted_join
 from sparkgauge.session import materialize
-from sparkgauge.sources.event_log import file_position, whole
+from sparkgauge.sources.event_log import JSON_OPTIONS, file_position, whole
 
 MONITOR_FILES = "*executor_monitor"
 
@@ -25,10 +25,10 @@ def decode_samples(lines: DataFrame) -> DataFrame:
     """(host, pos, sample, ok): ok if the line is whole JSON; a field of another type than
     declared is NULL."""
     schema = schemas.with_corrupt(schemas.MONITOR_SAMPLE)
-    sample = F.from_json("value", schema, {"columnNameOfCorruptRecord": "_corrupt"})
-    return lines.select("host", "pos", sample.alias("sample")).withColumn(
-        "ok", F.col("sample").isNotNull() & whole(F.col("sample._corrupt"))
-    )
+    sample = F.struct("value", F.from_json("value", schema, JSON_OPTIONS).alias("sample"))
+    decoded = lines.select("host", "pos", F.inline(F.array(sample)))
+    ok = F.col("sample").isNotNull() & whole(F.col("value"), F.col("sample._corrupt"))
+    return decoded.select("host", "pos", "sample", ok.alias("ok"))
 
 
 def whole_samples(decoded: DataFrame, staged: bool = True) -> DataFrame:

@@ -4,9 +4,10 @@ import pytest
 
 import __spark_entry__ as contract
 from compare import connect, differences
+from sparkgauge.plans import catalog, oracle
 
 SF = "/root/testdata/sf0.001"
-QUERIES, SQL = contract.queries(), contract.oracle_sql()
+QUERIES, SQL = catalog.queries(), oracle.oracle_sql()
 
 
 @pytest.fixture(scope="module")

@@ -198,3 +198,85 @@ def test_a_tick_with_an_odd_field_does_not_end_its_file(spark, tmp_path):
     read = monitor_log.read_monitor_lines(spark, str(tmp_path))
     whole = monitor_log.whole_samples(monitor_log.decode_samples(read))
     assert sorted(r["t"] for r in whole.select("sample.Current Time").toDF("t").collect()) == list(range(6))
+
+
+def test_syntax_is_told_apart_from_types(spark, tmp_path):
+    """Nine lines: every reader of the log makes the same of them."""
+
+    def task(i, gc="7", more="", rate="1.5", event="SparkListenerTaskEnd"):
+        return (
+            f'{{"Event":"{event}","Stage ID":1,{more}"Task Info":{{"Task ID":{i}}},"Task Metrics":{{"JVM GC Time":{gc},'
+            f'"Network Utilization":{{"Bytes Received Per Second":{rate}}}}}}}'
+        )
+
+    path = tmp_path / "event_log"
+    texts = [
+        task(0),
+        task(1, gc="NaN"),
+        task(2, gc="7.5", rate="NaN"),
+        task(3, gc="7.5", more='"Stage ID":2,'),
+        task(4, rate="-Infinity", more='"Stage ID":3,'),
+        task(5, gc="NaN", event="SparkListenerTaskStart"),
+        task(6, more='"Stage ID":2,', event="SparkListenerStageCompleted"),
+        task(7)[:-9],
+        task(8) + task(9),
+    ]
+    path.write_text("\n".join(texts) + "\n")
+    read = event_log.read_lines(spark, str(path))
+    events = event_log.task_end_events(read).select("event.*").orderBy("Task Info.Task ID").collect()
+    assert [e["Task Info"]["Task ID"] for e in events] == [0, 1, 2, 3, 4]
+    assert [e["Task Metrics"]["JVM GC Time"] for e in events] == [7, None, None, None, 7]
+    assert [e["Stage ID"] for e in events] == [1, 1, 1, 2, 3]
+    rates = [e["Task Metrics"]["Network Utilization"]["Bytes Received Per Second"] for e in events]
+    assert rates[2] != rates[2] and rates[4] == float("-inf") and rates[0] == 1.5
+    assert event_log.odd_tasks(read).count() == 3
+    assert {r["value"] for r in event_log.bad_lines(read).collect()} == set(texts[7:])
+    table = event_log.event_table(read)
+    assert {r["kind"]: r["count"] for r in table.groupBy("kind").count().collect()} == {"task": 5, "broken": 2}
+    assert {r["value"] for r in table.where("kind = 'broken'").collect()} == set(texts[7:])
+
+
+def test_a_field_deep_in_a_list_takes_nothing_else_with_it(spark, tmp_path):
+    def disk(sectors):
+        return {"xvdb": {"Disk Utilization": 0.5, "Read Throughput": 1.0, "Write Throughput": 2.0,
+                         "End Counters": {"Sectors Read": sectors, "Millis Total": 3}}}
+
+    usage = {"Device Name To Utilization": [disk("many"), {"xvdc": disk(4)["xvdb"]}]}
+    log = write(tmp_path / "event_log", [task_end(1, 0, **{"Disk Utilization": usage})])
+    disks = tasks_from_events(event_log.task_end_events(read(spark, log))).collect()[0]["disks"]
+    assert disks["xvdb"]["End Counters"].asDict() | disks["xvdc"]["End Counters"].asDict() != {}
+    assert disks["xvdb"]["End Counters"]["Sectors Read"] is None
+    assert disks["xvdb"]["End Counters"]["Millis Total"] == 3 and disks["xvdc"]["End Counters"]["Sectors Read"] == 4
+
+
+def test_five_ticks_with_two_faults_each(spark, tmp_path):
+    lines = [
+        f'{{"Current Time":{i},"Outstanding Network Bytes":{n},"Network Utilization":{{"Bytes Received Per Second":{r}}}}}'
+        for i, (n, r) in enumerate([("1", "1"), ("2", "2"), ("5.5", "NaN"), ("4", "Infinity"), ('5,"Current Time":4', "NaN")])
+    ]
+    (tmp_path / "1_executor_monitor").write_text("\n".join(["starting", *lines, lines[0] + "x", lines[0]]) + "\n")
+    whole = monitor_log.whole_samples(
+        monitor_log.decode_samples(monitor_log.read_monitor_lines(spark, str(tmp_path)))
+    )
+    rows = whole.select("sample.Current Time", "sample.Outstanding Network Bytes").toDF("t", "n").collect()
+    assert sorted((r["t"], r["n"]) for r in rows) == [(0, 1), (1, 2), (2, None), (3, 4), (4, 5)]
+
+
+def test_a_job_filter_comes_before_the_decoding(spark, tmp_path):
+    """Only lines of the kept stages are decoded whole, and the tasks are those of the plain way."""
+    events = [job_start(j, [2 * j, 2 * j + 1]) for j in range(10)]
+    events += [task_end(100 * s + i, s) for s in range(20) for i in range(5)]
+    events.insert(15, json.dumps(task_end(7, 3))[:-4])
+    lines = read(spark, write(tmp_path / "event_log", events))
+    starts = event_log.job_stages_from_events(event_log.job_start_events(lines))
+    kept = starts.where("job_id = 3")
+    found = event_log.task_end_events_of(lines, kept)
+    wanted = event_log.task_end_events(lines).where(F.col("event.Stage ID").isin(6, 7))
+    assert sorted(r["event"]["Task Info"]["Task ID"] for r in found.collect()) == sorted(
+        r["event"]["Task Info"]["Task ID"] for r in wanted.collect()
+    )
+    # What the join lets through is all that the wide schema sees: in the plan the join stands
+    # below the generator that decodes it.
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    decoded, joined = plan.index("Executor Run Time"), plan.index("Join LeftSemi")
+    assert decoded < joined and "Executor Run Time" not in plan[joined:]

@@ -1,6 +1,7 @@
 """Monitor files, waterfalls, experiment trees, text output and streams."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -109,6 +110,27 @@ def test_waterfall_islands(spark, tmp_path):
     assert (extent["last_end"], extent["max_lanes"], extent["max_lanes_ref"]) == (34, 2, 2)
 
 
+@pytest.mark.parametrize("pieces", [1, 2, 5, 9])
+def test_islands_over_pieces(spark, pieces):
+    """Islands of a file that is cut into pieces anywhere are those of a plain loop."""
+    draw = random.Random(pieces)
+    rows, wanted = [], {}
+    for file in ("a", "b"):
+        stage, island = 0, 0
+        for pos in range(120):
+            compute = draw.random() < 0.4
+            own = draw.choice([0, 1, 1, 2]) if compute else None
+            if compute and own != stage:
+                stage, island = own, island + 1
+            rows.append((file, pos, 2 if compute else 1, pos, own, 1000 + pos, 1))
+            wanted[(file, pos)] = island
+    parsed = spark.createDataFrame(
+        rows, "file string, pos long, kind int, id long, stage_id long, start_ms long, runtime_ms long"
+    )
+    got = waterfall.islands(parsed, pieces=pieces).collect()
+    assert {(r["file"], r["pos"]): r["island"] for r in got} == wanted
+
+
 def test_experiment_tree(spark, tmp_path):
     for query, branch in (("1a", "left"), ("1a", "right"), ("3b", "left"), ("3b", "extra")):
         write(tmp_path / query / branch / "event_log", [task_end(1, 0)])
@@ -140,9 +162,29 @@ def test_writers(spark, tmp_path):
     text.write_rows(df, str(tmp_path / "out"), partition_by=["measure"])
     back = spark.read.option("sep", "\t").option("header", True).csv(str(tmp_path / "out"))
     assert sorted((r["measure"], r["v"], r["l"]) for r in back.collect()) == [("a", "1", "[1,2]"), ("b", "2", "[]")]
-    for _ in range(2):
-        text.append_rows(df.select("measure", "v"), str(tmp_path / "log"))
-    assert spark.read.csv(str(tmp_path / "log"), sep="\t").count() == 4
+    for run_id in ("one", "two", "one"):
+        text.append_rows(df.select("measure", "v"), str(tmp_path / "log"), run_id)
+    back = spark.read.csv(str(tmp_path / "log"), sep="\t")
+    assert sorted(r["run"] for r in back.collect()) == ["one", "one", "two", "two"]
+
+
+def test_report_is_complete_or_not_there(spark, tmp_path):
+    path = str(tmp_path / "reports")
+    first = spark.createDataFrame([("a", [1, 2])], "k string, l array<int>")
+    text.write_report({"x": first, "y": first.where("false")}, path, "r1")
+    back = text.read_report(spark, path, "r1")
+    assert sorted(back) == ["x", "y"] and back["y"].count() == 0
+    assert [tuple(r) for r in back["x"].collect()] == [("a", [1, 2])]
+    text.write_report({"x": first}, path, "r1")
+    text.write_report({"x": first}, path, "r2")
+    assert sorted(text.read_report(spark, path, "r1")) == ["x"]
+    assert text.read_report(spark, path, "r1")["x"].count() == 1
+
+    broken = first.select(F.raise_error(F.lit("lost")).alias("k"))
+    with pytest.raises(Exception, match="lost"):
+        text.write_report({"x": first, "z": broken}, path, "r1")
+    with pytest.raises(ValueError, match="not complete"):
+        text.read_report(spark, path, "r1")
 
 
 def test_monitor_stream_equals_batch(spark, tmp_path):
