@@ -1,7 +1,8 @@
 """Logs that are still being written, as Structured Streaming (an extension of the batch work).
 
-Log order does not exist across micro-batches, so only order-free results are offered: windows
-of utilization and of finished tasks. They equal the batch results over the same lines.
+Log order does not exist across micro-batches. Windows of utilization and of finished tasks need
+none. Tasks are attached to jobs by time instead: a job counts if it was submitted before the task
+finished. All equal the batch results over the same lines where submission times follow log order.
 """
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from sparkgauge.constants import BYTES_PER_GIBIT, CORES_PER_EXECUTOR
 from sparkgauge.operators.monitor import finite_samples
 from sparkgauge.operators.tasks import tasks_from_events
-from sparkgauge.sources.event_log import task_end_events
+from sparkgauge.sources.event_log import job_start_events, task_end_events
 from sparkgauge.sources.monitor_log import MONITOR_FILES, decode_samples
 
 
@@ -53,9 +54,16 @@ def utilization_windows(
     )
 
 
+def _of_application(lines: DataFrame) -> DataFrame:
+    """`app_id` as `event_log.read_lines` has it: files of a rolled log belong to their directory."""
+    rolled = F.col("source").rlike("/(events_[0-9]+_[^/]*|event_log)$")
+    folder = F.regexp_replace("source", "/[^/]+$", "")
+    return lines.withColumn("app_id", F.when(rolled, folder).otherwise(F.col("source"))).drop("source")
+
+
 def task_stream(spark: SparkSession, directory: str, pattern: str = "*", **options) -> DataFrame:
     """Task table with `ts`, the finish time."""
-    lines = stream_lines(spark, directory, pattern, **options).withColumnRenamed("source", "app_id")
+    lines = _of_application(stream_lines(spark, directory, pattern, **options))
     tasks = tasks_from_events(task_end_events(lines))
     return tasks.withColumn("ts", F.timestamp_millis("finish_ms"))
 
@@ -76,6 +84,51 @@ def task_windows(
     )
 
 
+def job_stage_stream(spark: SparkSession, directory: str, pattern: str = "*", **options) -> DataFrame:
+    """(app_id, job_id, stage_id, started) of the jobs that start, with their submission time."""
+    lines = _of_application(stream_lines(spark, directory, pattern, **options))
+    event = F.col("event")
+    return job_start_events(lines).select(
+        "app_id",
+        event["Job ID"].alias("job_id"),
+        F.explode(event["Stage IDs"]).alias("stage_id"),
+        F.timestamp_millis(event["Submission Time"]).alias("started"),
+    )
+
+
+def _with_jobs(tasks: DataFrame, job_stages: DataFrame, how: str, late_by: str, longest: str) -> DataFrame:
+    starts = job_stages.select(
+        F.col("app_id").alias("job_app"), F.col("stage_id").alias("job_stage"), "job_id", "started"
+    ).withWatermark("started", late_by)
+    on = (
+        (F.col("app_id") == F.col("job_app"))
+        & (F.col("stage_id") == F.col("job_stage"))
+        & (F.col("ts") > F.col("started"))
+        & (F.col("ts") <= F.col("started") + F.expr(f"INTERVAL {longest}"))
+    )
+    return tasks.withWatermark("ts", late_by).join(starts, on, how)
+
+
+def attach_jobs(
+    tasks: DataFrame, job_stages: DataFrame, late_by: str = "10 minutes", longest: str = "1 day"
+) -> DataFrame:
+    """(job, task) pairs of two streams (`task_stream`, `job_stage_stream`); batch frames work too.
+
+    `longest` bounds the time from a job's submission to its last task, and so the state: a start is
+    forgotten after it, a task once no earlier start can come.
+    """
+    joined = _with_jobs(tasks, job_stages, "inner", late_by, longest)
+    return joined.drop("job_app", "job_stage", "started")
+
+
+def orphan_tasks(
+    tasks: DataFrame, job_stages: DataFrame, late_by: str = "10 minutes", longest: str = "1 day"
+) -> DataFrame:
+    """Tasks that no job listed, told once the watermark has passed them: the quarantine."""
+    joined = _with_jobs(tasks, job_stages, "left_outer", late_by, longest)
+    return joined.where("job_id IS NULL").drop("job_app", "job_stage", "started", "job_id")
+
+
 def append_table(stream: DataFrame, path: str, checkpoint: str, **trigger):
     """Append closed windows to a Parquet table; exactly once through the checkpoint."""
     return (

@@ -1,6 +1,7 @@
 """Monitor files, waterfalls, experiment trees, text output and streams."""
 
 import json
+import os
 import random
 
 import pytest
@@ -9,9 +10,11 @@ from pyspark.sql import functions as F
 from sparkgauge.functions.units import bits_text, bytes_text
 from sparkgauge.operators import monitor, waterfall
 from sparkgauge.sinks import text
-from sparkgauge.sources import experiments, monitor_log
+from sparkgauge.operators import attribution
+from sparkgauge.operators.tasks import tasks_from_events
+from sparkgauge.sources import event_log, experiments, monitor_log
 from sparkgauge.streaming import live
-from test_logs import task_end, write
+from test_logs import job_start, task_end, write
 
 
 def tick(time, cpu=2.0, rx=1000.0, started=None, queue=(), disks=("xvdb",), **gauges):
@@ -216,3 +219,44 @@ def test_task_stream_appends_closed_windows(spark, tmp_path):
     rows = spark.read.parquet(out).collect()
     assert len(rows) == len({r["start"] for r in rows}) and 25 <= len(rows) <= 30
     assert all(r["n_tasks"] == 1 and r["task_ms"] == 500 for r in rows)
+
+
+def test_streamed_tasks_find_their_jobs_like_the_batch(spark, tmp_path):
+    """Four files of a rolled log, one per micro-batch; stage 1 serves two jobs, stages 7 and 8 none."""
+    minute, noon = 60_000, 1_700_000_000_000
+    folder = tmp_path / "in" / "eventlog_v2_a"
+    files = [
+        [job_start(0, [0, 1], noon), *[task_end(i, i % 2, noon, noon + minute * (2 + i)) for i in range(6)], task_end(90, 7, noon, noon + minute)],
+        [job_start(1, [1, 2], noon + 10 * minute), *[task_end(10 + i, 1 + i % 2, noon, noon + minute * (11 + i)) for i in range(6)]],
+        [task_end(20, 1, noon, noon + 40 * minute), task_end(91, 8, noon, noon + 41 * minute), task_end(92, 0, noon, noon + 200 * minute)],
+        [job_start(2, [9], noon + 300 * minute), task_end(93, 9, noon, noon + 301 * minute)],
+    ]
+    for n, events in enumerate(files, 1):
+        path = write(folder / f"events_{n}_a", events)
+        os.utime(path, (1_700_000_000 + 60 * n,) * 2)  # a stream reads files in order of their times
+    lines = event_log.read_lines(spark, str(folder))
+    tasks = tasks_from_events(event_log.task_end_events(lines))
+    starts = event_log.job_stages_from_events(event_log.job_start_events(lines))
+    wanted = sorted((r["job_id"], r["task_id"]) for r in attribution.attach_jobs(tasks, starts).collect())
+    lost = sorted(r["task_id"] for r in attribution.orphan_tasks(tasks, starts).collect())
+
+    def streams():
+        directory = f"{tmp_path}/in/*"
+        return (
+            live.task_stream(spark, directory, "events_*", max_files=1),
+            live.job_stage_stream(spark, directory, "events_*", max_files=1),
+        )
+
+    attached = live.attach_jobs(*streams(), late_by="5 minutes", longest="3 hours")
+    orphans = live.orphan_tasks(*streams(), late_by="5 minutes", longest="3 hours")
+    for name, frame in (("live_jobs", attached), ("live_orphans", orphans)):
+        query = frame.writeStream.outputMode("append").format("memory").queryName(name).start()
+        try:
+            query.processAllAvailable()
+        finally:
+            query.stop()
+    got = sorted((r["job_id"], r["task_id"]) for r in spark.table("live_jobs").collect())
+    # The last task is three hours after the job that lists its stage: within reach in the batch only.
+    assert got == [x for x in wanted if x[1] != 92] and (0, 92) in wanted
+    assert lost == [90, 91]
+    assert sorted(r["task_id"] for r in spark.table("live_orphans").collect()) == [90, 91, 92]
