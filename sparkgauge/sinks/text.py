@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from sparkgauge.functions.units import bits_text, bytes_text
 
 
+# The labels, units and digits below are those of the report format.
 def _metrics_text() -> Column:
     disk_lines = F.transform(
         "disks",
