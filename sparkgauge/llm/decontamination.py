@@ -12,11 +12,13 @@ is one sentence only), the question what stands before it.
 Items of fewer than MIN_WORDS words or without text match nothing; items that repeat an id are
 separate texts of one item. Null or empty texts and rows without an id match nothing. Extra
 columns are ignored. The index goes out in shards of at most SHARD_BYTES of item text, one pass
-over the documents for each, so its size is bounded however large the benchmark is.
+over the documents for each, so its size is bounded however large the benchmark is. Document
+frequencies and the mean length are those of all parts, so scores do not depend on the shards.
 """
 
 import math
 import re
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -89,8 +91,16 @@ def _parts(text: str) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     return out
 
 
-def build_index(items: list[tuple[int, str]], df: dict[int, int] | None, total: int | None) -> Index:
-    """Index of the parts of some items. `df` and `total` count parts of all shards, if several."""
+class Totals(NamedTuple):
+    """Of the parts of all shards: how many hold a term, their number and mean length."""
+
+    df: dict[int, int]
+    count: int
+    length: float
+
+
+def build_index(items: list[tuple[int, str]], totals: Totals | None = None) -> Index:
+    """Index of the parts of some items; without `totals` they are all there are."""
     owner, parts = [], []
     for item, text in items:
         for part in _parts(text):
@@ -107,9 +117,13 @@ def build_index(items: list[tuple[int, str]], df: dict[int, int] | None, total:
     tf = np.concatenate([c for _, c in counted]).astype(float)
     part = np.repeat(np.arange(len(parts)), [len(t) for t, _ in counted])
     terms, at = np.unique(term, return_inverse=True)
-    seen = np.bincount(at) if df is None else np.array([df[int(t)] for t in terms.view(np.int64)])
-    idf = np.log(1 + ((total or len(parts)) - seen + 0.5) / (seen + 0.5))
-    impact = idf[at] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[part] / lengths.mean()))
+    if totals is None:
+        seen, count, length = np.bincount(at), len(parts), lengths.mean()
+    else:
+        seen = np.array([totals.df[int(t)] for t in terms.view(np.int64)])
+        count, length = totals.count, totals.length
+    idf = np.log(1 + (count - seen + 0.5) / (seen + 0.5))
+    impact = idf[at] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[part] / length))
     impact /= np.bincount(part, impact)[part]
     order = np.lexsort((part, at))
     at, part, impact = at[order], part[order], impact[order]
@@ -222,8 +236,9 @@ def matches(run: pa.RecordBatch, index: Index, threshold: float, overlap: float)
     return out
 
 
-def _shards(items: DataFrame) -> list[Index]:
-    """Indexes over all items, each of at most about SHARD_BYTES of text."""
+def _shards(items: DataFrame, shard_bytes: int) -> Iterator[tuple[Index, bool]]:
+    """Indexes over all items, each of at most about `shard_bytes` of text, one after the other;
+    and whether there are several. Only the items of one are on the driver at a time."""
     items = stage(
         items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where(
             "item_id is not null and text is not null"
@@ -231,40 +246,49 @@ def _shards(items: DataFrame) -> list[Index]:
         "items",
     )
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    count = max(1, math.ceil(2 * size / SHARD_BYTES)) if size > SHARD_BYTES else 1
-    if count == 1:
+    if size <= shard_bytes:
         rows = items.orderBy("item_id", "text").collect()
-        return [build_index([(r["item_id"], r["text"]) for r in rows], None, None)]
+        yield build_index([(r["item_id"], r["text"]) for r in rows]), False
+        return
 
     def terms(run: pa.RecordBatch) -> pa.RecordBatch:
-        parts = [np.unique(p[0]) for t in run.column("text").to_pylist() for p in _parts(t)]
-        flat = np.concatenate([*parts, np.zeros(0, np.uint64)]).view(np.int64)
-        new = np.concatenate([*[np.arange(len(p)) == 0 for p in parts], np.zeros(0, bool)])
-        return pa.RecordBatch.from_arrays([pa.array(flat), pa.array(new)], ["term", "new"])
-
-    listed = stage(map_texts(items.select("text"), terms, "term long, new boolean"), "item_terms")
-    total = listed.where("new").count()
+        parts = [p[0] for t in run.column("text").to_pylist() for p in _parts(t)]
+        distinct = [np.unique(p) for p in parts]
+        flat = np.concatenate([*distinct, np.zeros(0, np.uint64)]).view(np.int64)
+        # The first term of a part brings the part's length, the others none.
+        sizes = [np.where(np.arange(len(d)) == 0, len(p), 0) for d, p in zip(distinct, parts, strict=True)]
+        sizes = np.concatenate([*sizes, np.zeros(0, np.int64)])
+        return pa.RecordBatch.from_arrays([pa.array(flat), pa.array(sizes)], ["term", "length"])
+
+    schema = "term long, length long"
+    listed = stage(map_texts(items.select("text"), terms, schema), "item_terms")
+    parts = listed.where("length > 0").agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean")).first()
     df = stage(listed.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "item_df")
+    count = math.ceil(2 * size / shard_bytes)
     shard = F.pmod(F.xxhash64("item_id", "text"), F.lit(count))
-    out = []
     for k in range(count):
-        rows = items.where(shard == k).orderBy("item_id", "text").collect()
-        part = items.where(shard == k).select("text")
-        own = map_texts(part, terms, "term long, new boolean").select("term").distinct()
+        mine = items.where(shard == k)
+        rows = mine.orderBy("item_id", "text").collect()
+        own = map_texts(mine.select("text"), terms, schema).select("term").distinct()
         known = {r["term"]: r["df"] for r in df.join(own, "term").collect()}
-        out.append(build_index([(r["item_id"], r["text"]) for r in rows], known, total))
-    return out
+        totals = Totals(known, parts["n"], parts["mean"])
+        yield build_index([(r["item_id"], r["text"]) for r in rows], totals), True
 
 
 def contaminated(
-    docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP
+    docs: DataFrame,
+    items: DataFrame,
+    threshold: float = THRESHOLD,
+    overlap: float = OVERLAP,
+    shard_bytes: int = SHARD_BYTES,
 ) -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap, first_word) per document and
-    item found in it, with the figures of its best passage."""
+    item found in it, with the figures of its best passage. What several shards find is written
+    one by one, so that one index is held at a time."""
     picked = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     picked = picked.where("doc_id is not null")
     found = None
-    for index in _shards(items):
+    for index, several in _shards(items, shard_bytes):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def work(run: pa.RecordBatch, shared=shared) -> pa.RecordBatch:
@@ -283,6 +307,9 @@ def contaminated(
 
         schema = "doc_id long, item_id long, score double, question double, answer double, first_word long"
         part = map_texts(picked, work, schema)
+        if several:
+            part = stage(part, "found_items")
+            shared.destroy()
         found = part if found is None else found.unionByName(part)
     best = F.max(F.struct("score", "question", "answer", (-F.col("first_word")).alias("later"))).alias("b")
     return (
