@@ -27,11 +27,13 @@ import pyarrow.fs as pfs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkgauge.llm.shared import stage
+from sparkgauge.llm.shared import runs, stage
 from sparkgauge.session import run_dir
 
 #: Payload bytes per shard, about, and compressed bytes at which a file is closed.
 SHARD_BYTES, ROLL_BYTES = 32 << 20, 16 << 20
+#: Neighbouring shards that one task writes, and files that one reads (about, by hash), at most.
+SHARDS_A_TASK, FILES_A_TASK = 8, 8
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Cells of the id range whose sizes reach the driver at once.
@@ -150,6 +152,11 @@ def typed_pages(pages: DataFrame, least_revisit: int = 0) -> DataFrame:
     )
 
 
+def _tasks(spark, pieces: int, most: int) -> int:
+    """Tasks for so many pieces of work: as the session has them, more if one got over `most`."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(pieces / most))
+
+
 def _file_system(folder: str) -> tuple[pfs.FileSystem, str]:
     return pfs.FileSystem.from_uri(folder)
 
@@ -159,7 +166,10 @@ def write(
     shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES,
 ) -> DataFrame:
     """Write `pages` as WARC files in `folder` and return the manifest (file, records, bytes,
-    sha256, first_id, last_id). `folder` is a URI of a file system that pyarrow reaches."""
+    sha256, first_id, last_id). `folder` is a URI of a file system that pyarrow reaches.
+
+    A task writes up to SHARDS_A_TASK neighbouring shards, whatever the size of the table. Files of
+    attempts that failed stay below a temporary name and are removed once the manifest stands."""
     size = F.octet_length(F.coalesce("html", F.lit(""))).cast("long") + 512
     sizes = pages.select(F.col("page_id").cast("long"), size.alias("payload_bytes"))
     limits = shard_limits(stage(sizes.where("page_id is not null"), "sizes"), shard_bytes)
@@ -173,8 +183,10 @@ def write(
 
     schema = "page_id long, url string, html string, refers_to long, shard long"
     numbered = typed_pages(pages, least_revisit).mapInArrow(number, schema)
-    parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = numbered.repartition(parts, "shard").sortWithinPartitions(
+    shards = len(limits) + 1
+    each = math.ceil(shards / _tasks(pages.sparkSession, shards, SHARDS_A_TASK))
+    task = F.floor(F.col("shard") / each).cast("int")
+    ordered = numbered.repartitionById(math.ceil(shards / each), task).sortWithinPartitions(
         "shard", "page_id", "url", "html", "refers_to"
     )
 
@@ -202,24 +214,23 @@ def write(
             state["sha"].update(data)
             state["bytes"] += len(data)
 
-        for batch in batches:
-            for row in batch.to_pylist():
-                new = row["shard"] != state["shard"]
-                if state["out"] is not None and (new or state["bytes"] >= roll_bytes):
-                    yield close()
-                if state["out"] is None:
-                    turn = 0 if new else state["turn"] + 1
-                    path = f"{base}/_temporary/{uuid.uuid4().hex}"
-                    state = {
-                        "shard": row["shard"], "turn": turn, "path": path, "bytes": 0, "n": 0,
-                        "out": files.open_output_stream(path, compression=None),
-                        "sha": hashlib.sha256(), "ids": [row["page_id"], None],
-                    }
-                    put(_member(_record("warcinfo", [("WARC-Record-ID", _record_id(row["shard"], turn))],
-                                        b"format: WARC File Format 1.1\r\n")))
-                put(_member(page_record(row["page_id"], row["url"], row["html"], row["refers_to"])))
-                state["n"] += 1
-                state["ids"][1] = row["page_id"]
+        for row in (row for batch in batches for run in runs(batch, "html") for row in run.to_pylist()):
+            new = row["shard"] != state["shard"]
+            if state["out"] is not None and (new or state["bytes"] >= roll_bytes):
+                yield close()
+            if state["out"] is None:
+                turn = 0 if new else state["turn"] + 1
+                path = f"{base}/_temporary/{uuid.uuid4().hex}"
+                state = {
+                    "shard": row["shard"], "turn": turn, "path": path, "bytes": 0, "n": 0,
+                    "out": files.open_output_stream(path, compression=None),
+                    "sha": hashlib.sha256(), "ids": [row["page_id"], None],
+                }
+                put(_member(_record("warcinfo", [("WARC-Record-ID", _record_id(row["shard"], turn))],
+                                    b"format: WARC File Format 1.1\r\n")))
+            put(_member(page_record(row["page_id"], row["url"], row["html"], row["refers_to"])))
+            state["n"] += 1
+            state["ids"][1] = row["page_id"]
         last = close()
         if last is not None:
             yield last
@@ -229,6 +240,9 @@ def write(
         "file string, records long, bytes long, sha256 string, first_id long, last_id long",
     )
     manifest.write.parquet(f"{folder}/manifest")
+    files, base = _file_system(folder)
+    if files.get_file_info(f"{base}/_temporary").type == pfs.FileType.Directory:
+        files.delete_dir(f"{base}/_temporary")
     return pages.sparkSession.read.parquet(f"{folder}/manifest")
 
 
@@ -285,7 +299,7 @@ def read_back(manifest: DataFrame, folder: str) -> DataFrame:
                     [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names
                 )
 
-    parts = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = _tasks(manifest.sparkSession, manifest.count(), FILES_A_TASK)
     return manifest.select("file").repartition(parts, "file").mapInArrow(
         reader,
         "page_id long, payload_bytes long, payload_digest string, record_type string, "
