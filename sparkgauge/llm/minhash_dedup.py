@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkgauge.llm.bytewords import NOT_BLANK, mix, words
-from sparkgauge.llm.components import block_sides, bucket_links, components, deal, map_blocks
+from sparkgauge.llm.components import block_sides, bucket_links, components, deal, map_blocks, mixed
 from sparkgauge.llm.shared import is_empty, map_texts, rows_of, runs, stage, without
 
 DEPTH = 4
@@ -266,7 +266,7 @@ def _apart(
         ids = group.column("id").to_numpy()
         return pa.RecordBatch.from_arrays([pa.array(ids[a[new]]), pa.array(ids[b[new]])], ["a", "b"])
 
-    rows = deal(labelled, BLOCK).join(classes.select("id", "sig"), "id")
+    rows = deal(mixed(labelled), BLOCK).join(classes.select("id", "sig"), "id")
     return map_blocks(rows, work, "a long, b long")
 
 
