@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkgauge.llm.shared import is_empty, stage
-from sparkgauge.operators.joins import salted_join
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -148,14 +147,6 @@ def bucket_links(
     return stage(edges.unionByName(verify(fresh)), "links")
 
 
-def mixed(labelled: DataFrame) -> DataFrame:
-    """The rows with (bucket, id, label) of buckets that hold more than one label. A bucket of one
-    label, such as a family that is connected already, has no pair that is still apart."""
-    labels = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-    several = stage(labels.where("lo <> hi").select("bucket"), "mixed_buckets")
-    return stage(salted_join(labelled, several, ["bucket"], ["id"]), "mixed")
-
-
 def deal(rows: DataFrame, size: int) -> DataFrame:
     """Add (block, left) to rows with (bucket, id): a bucket beyond `size` rows becomes pairs of
     blocks (i <= j), and a row of block i goes to each pair with i. `left` tells the side, null

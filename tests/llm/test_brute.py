@@ -106,11 +106,3 @@ def test_viterbi_against_all_paths(docs, seed):
         scores = np.array([path_score(p, chars) for p in paths])
         best = {"".join(x for x, _ in paths[i]) for i in np.flatnonzero(scores >= scores.max() - 1e-9)}
         assert toxicity.viterbi(word, chars) in best
-
-
-def test_buckets_of_one_label_are_not_dealt(spark):
-    from sparkgauge.llm.components import mixed
-
-    rows = [(1, i, 7) for i in range(50)] + [(2, i, 7 if i < 49 else 8) for i in range(50)] + [(3, 4, 7)]
-    kept = mixed(spark.createDataFrame(rows, "bucket long, id long, label long"))
-    assert sorted(tuple(r) for r in kept.select("bucket", "id", "label").collect()) == rows[50:100]
