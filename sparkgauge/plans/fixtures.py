@@ -420,9 +420,14 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def monitor_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(host, pos, time_ms, sample) with the sample in the shape the monitor source decodes."""
-    base = _events(spark, sf_dir)
+    return _samples(_events(spark, sf_dir))
+
+
+def _samples(base: DataFrame, *more: str) -> DataFrame:
     c = F.col
-    flat = base.selectExpr("event_id", "time_ms", "k", *[f"{text} AS {name}" for name, text in MONITOR.items()])
+    flat = base.selectExpr(
+        *more, "event_id", "time_ms", "k", *[f"{text} AS {name}" for name, text in MONITOR.items()]
+    )
     disks = F.array(*[
         F.create_map(F.lit(name), F.struct(
             (c("cpu_user") * factor).alias("Disk Utilization"),
@@ -465,22 +470,25 @@ def monitor_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
         c("free_off_heap").alias("Free Off-Heap Memory Bytes"),
     )
     return flat.select(
-        "host", F.struct("time_ms", "event_id").alias("pos"), "time_ms", "event_id", sample.alias("sample")
+        *more, "host", F.struct("time_ms", "event_id").alias("pos"), "time_ms", "event_id", sample.alias("sample")
     )
 
 
 def monitor_files(spark: SparkSession, sf_dir: str) -> str:
-    """A folder of monitor logs, one file per host."""
-    ticks = monitor_ticks(spark, sf_dir)
+    """A folder of monitor logs, one file per host.
+
+    A file's rows are sorted as they are in events; the samples and their text are made after that.
+    """
+    base = _events(spark, sf_dir).withColumn("monitor", F.expr(MONITOR["host"]))
+    placed = base.repartition(5, "monitor").sortWithinPartitions("monitor", "time_ms", "event_id")
     folder = f"{run_dir(spark)}/monitor-files-{uuid.uuid4().hex}"
     (
-        ticks.repartition(5, "host")
-        .sortWithinPartitions("host", "pos")
-        .select("host", F.to_json("sample").alias("value"))
-        .write.partitionBy("host")
+        _samples(placed, "monitor")
+        .select("monitor", F.to_json("sample").alias("value"))
+        .write.partitionBy("monitor")
         .text(folder)
     )
-    return _renamed(spark, folder, lambda v: f"logs/{v['host']}_executor_monitor")
+    return _renamed(spark, folder, lambda v: f"logs/{v['monitor']}_executor_monitor")
 
 
 # --- small work units from events ----------------------------------------------------------
