@@ -3,9 +3,10 @@
 from pathlib import Path
 
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
 from sparkgauge.plans import fixtures
-from sparkgauge.session import materialize, run_dir
+from sparkgauge.session import run_dir
 from sparkgauge.sources import event_log
 
 SF = "/root/testdata/sf0.001"
@@ -17,7 +18,7 @@ def test_event_text_is_read_from_the_given_table(spark):
 
 
 def test_intermediate_tables_are_zstandard(spark):
-    materialize(fixtures.job_stages(spark, SF), "stages")
+    fixtures.job_stages(spark, SF)
     written = [p for p in Path(run_dir(spark)).rglob("*.parquet")]
     assert written and all(p.name.endswith(".zstd.parquet") for p in written)
 
@@ -28,3 +29,28 @@ def test_long_logs_are_rolled_more_often(spark, monkeypatch):
     per_app = lines.groupBy("app_id").agg(F.count_distinct(F.floor(F.col("pos") / event_log.FILE_STRIDE)).alias("n"))
     assert lines.count() == fixtures.table(spark, SF, "lineitem").count()
     assert min(r["n"] for r in per_app.collect()) > 3
+
+
+def test_jobs_of_stages_are_a_table_of_known_size(spark):
+    stages = fixtures.job_stages(spark, SF)
+    assert stages.inputFiles() and all(run_dir(spark) in f for f in stages.inputFiles())
+
+
+def test_parts_grow_with_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(fixtures, "DEALT_ROWS", 100)
+    lineitem = fixtures.table(spark, SF, "lineitem")
+    parts = fixtures.dealt(lineitem, "l_orderkey").rdd.getNumPartitions()
+    assert parts == -(-lineitem.count() // 100)
+
+
+def test_monitor_files_move_no_samples(spark, monkeypatch):
+    shuffled = []
+    deal = DataFrame.repartition
+
+    def noted(df, *args):
+        shuffled.extend(df.columns)
+        return deal(df, *args)
+
+    monkeypatch.setattr(DataFrame, "repartition", noted)
+    fixtures.monitor_files(spark, SF)
+    assert shuffled and "sample" not in shuffled
