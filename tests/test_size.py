@@ -1,5 +1,6 @@
 """What grows with the log: text is not written, moved or sorted before it is needed."""
 
+import time
 from pathlib import Path
 
 from pyspark.sql import functions as F
@@ -7,7 +8,7 @@ from pyspark.sql.classic.dataframe import DataFrame
 
 from sparkgauge import schemas
 from sparkgauge.plans import fixtures
-from sparkgauge.session import run_dir
+from sparkgauge.session import CLEANUP_CONF, materialize, run_dir
 from sparkgauge.sources import event_log
 
 SF = "/root/testdata/sf0.001"
@@ -66,3 +67,19 @@ def test_events_of_few_fields_are_the_same_events(spark):
 
     few, whole = (event_log.task_end_events(lines, s) for s in (schemas.TASK_IDS, schemas.TASK_END))
     assert figures(few) == figures(whole)
+
+
+def test_no_shuffle_files_are_left_behind_a_table(spark):
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    local = [Path(folder) for folder in manager.localDirsString()]
+
+    def shuffled():
+        return {p for folder in local for p in folder.rglob("shuffle_*.data")}
+
+    before = shuffled()
+    counted = materialize(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counted")
+    end = time.time() + 20
+    while shuffled() - before and time.time() < end:
+        time.sleep(0.2)
+    assert not shuffled() - before
+    assert counted.count() == 7 and spark.conf.get(CLEANUP_CONF, "false") == "false"
