@@ -39,10 +39,9 @@ def utilization_pairs(
             ),
         )
     )
-    none = F.filter(always, lambda _: F.lit(False))
-    all_entries = F.concat(
-        always, F.when(F.col("has_fetch"), fetching).otherwise(none), per_disk
-    )
+    # A slice is compiled; a lambda over an array of entries is interpreted for every row.
+    kept = F.when(F.col("has_fetch"), F.size(fetching)).otherwise(0)
+    all_entries = F.concat(always, F.slice(fetching, F.lit(1), kept), per_disk)
     return job_tasks.select(
         "app_id", F.col("runtime_ms").alias("weight"), F.explode(all_entries).alias("e")
     ).select("app_id", "e.measure", "e.value", "weight")

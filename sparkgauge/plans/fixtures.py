@@ -165,10 +165,14 @@ def _disk_list() -> Column:
             counters("finish_ms").alias("End Counters"),
         )
 
-    all_disks = F.array(*[F.create_map(F.lit(name), usage(factor)) for name, factor in DISKS.items()])
-    return F.filter(
-        all_disks, lambda disk: (F.col("exec_no") != 4) | ~F.map_contains_key(disk, F.lit("xvdf"))
-    )
+    def listed(*names: str) -> Column:
+        return F.array(*[F.create_map(F.lit(name), usage(DISKS[name])) for name in names])
+
+    # No lambda over a whole list, which would be interpreted row by row; but one over a number, so
+    # that the columns are compiled apart. All in one method they are too many for the JVM to compile.
+    has_all = F.exists(F.array("exec_no"), lambda n: n != 4)
+    rest = F.when(has_all, listed("xvdf", "xvda1")).otherwise(listed("xvda1"))
+    return F.concat(listed("xvdb", "xvdc"), rest)
 
 
 def task_end_events(raw: DataFrame, *more: str) -> DataFrame:

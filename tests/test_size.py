@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.classic.dataframe import DataFrame
 
 from sparkgauge import schemas
+from sparkgauge.operators import utilization
 from sparkgauge.plans import fixtures
 from sparkgauge.session import CLEANUP_CONF, materialize, run_dir
 from sparkgauge.sources import event_log
@@ -83,3 +84,18 @@ def test_no_shuffle_files_are_left_behind_a_table(spark):
         time.sleep(0.2)
     assert not shuffled() - before
     assert counted.count() == 7 and spark.conf.get(CLEANUP_CONF, "false") == "false"
+
+
+def test_entries_of_a_task_are_not_filtered_row_by_row(spark):
+    raw = fixtures.raw_tasks(spark, SF)
+    lists = raw.select("exec_no", fixtures._disk_list().alias("disks"))
+    pairs = utilization.utilization_pairs(fixtures.tasks(spark, SF).withColumn("app_id", F.lit("a")))
+    for frame in (lists, pairs):
+        plan = frame._jdf.queryExecution().optimizedPlan().toString()
+        assert "filter(array(" not in plan
+    names = lists.select("exec_no", F.transform("disks", lambda d: F.map_keys(d)[0]).alias("names")).distinct()
+    every = list(fixtures.DISKS)
+    for row in names.collect():
+        assert row["names"] == [d for d in every if row["exec_no"] != 4 or d != "xvdf"]
+    fetched = pairs.where("measure = 'network_utilization_fetch_only'").count()
+    assert fetched == 2 * raw.where("fetch_wait is not null").count()
