@@ -308,7 +308,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         return _confirmed(both, size, percent)
 
     links = bucket_links(
-        _buckets(classes, trees),
+        lambda: _buckets(classes, trees),
         verify,
         near=lambda crowd: _neighbours(crowd, classes, hashes),
         rest=lambda labelled: _apart(labelled, classes, least, threshold),
