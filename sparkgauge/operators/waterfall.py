@@ -29,7 +29,11 @@ def parse_work_lines(lines: DataFrame, offset: int = 0) -> DataFrame:
     last three characters; where it ends the line, the line feed is one of them, so two that
     can be seen.
     """
-    items = F.split("value", " ")
+    # The one-element generator keeps a line from being made and split again for every field and
+    # for every filter that is pushed below the fields.
+    once = F.struct("value", F.split("value", " ").alias("items"))
+    lines = lines.select("file", "pos", F.inline(F.array(once)))
+    items = F.col("items")
 
     def field(position: int) -> Column:
         return F.try_element_at(items, F.lit(offset + position + 1))
@@ -127,6 +131,8 @@ def waterfall(
     `start` counts from the first line of the file, whatever kind that line is.
     """
     order = order or ["pos"]
+    # Read three times: for the first starts, to sample the ranges and to deal the rows to them.
+    parsed = materialize(parsed, "parsed_lines")
     first = parsed.groupBy("file").agg(
         F.min_by("start_ms", F.struct(*order)).alias("first_start")
     )

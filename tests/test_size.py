@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.classic.dataframe import DataFrame
 
 from sparkgauge import schemas
-from sparkgauge.operators import utilization
+from sparkgauge.operators import utilization, waterfall
 from sparkgauge.plans import fixtures
 from sparkgauge.session import CLEANUP_CONF, materialize, run_dir
 from sparkgauge.sources import event_log
@@ -99,3 +99,11 @@ def test_entries_of_a_task_are_not_filtered_row_by_row(spark):
         assert row["names"] == [d for d in every if row["exec_no"] != 4 or d != "xvdf"]
     fetched = pairs.where("measure = 'network_utilization_fetch_only'").count()
     assert fetched == 2 * raw.where("fetch_wait is not null").count()
+
+
+def test_a_work_line_is_made_and_split_once(spark):
+    """Also by the filters that are pushed below the fields."""
+    parsed = waterfall.parse_work_lines(fixtures.work_lines(spark, SF))
+    readable = parsed.where("kind is not null and id is not null and start_ms is not null and runtime_ms is not null")
+    plan = readable._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1 and plan.count("concat_ws(") == 1
