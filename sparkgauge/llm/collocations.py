@@ -39,6 +39,8 @@ from sparkgauge.llm.shared import map_texts, runs, stage
 
 #: Bits of the map of frequent pairs and of the map of needed words: 16 MB at any size.
 MAP_BITS = 27
+#: Bits of a piece of them, that a task makes: 256 KB.
+PIECE_BITS = 21
 #: Leading pairs with at least one of so many words are dealt out by the whole suffix.
 HOT = 1 << 12
 #: Rows of suffixes that a task gathers before it adds equal ones up.
@@ -99,13 +101,35 @@ def _count_keys(run: pa.RecordBatch):
 
 
 def bit_map(keys: DataFrame) -> np.ndarray:
-    """Bits of the hashes in `key`, by their top MAP_BITS bits: 16 MB however many there are."""
+    """Bits of the hashes in `key`, by their top MAP_BITS bits: 16 MB however many there are.
+
+    Tasks make pieces of it, so that the driver gets these bytes and no row for each cell.
+    """
     place = F.shiftrightunsigned("key", 64 - MAP_BITS).alias("place")
     bit = F.bit_or(F.expr("shiftleft(1L, int(place & 63))")).alias("bits")
-    cells = keys.select(place).groupBy(F.shiftright("place", 6).alias("cell")).agg(bit).toArrow()
-    out = np.zeros(1 << (MAP_BITS - 6), np.int64)
-    out[cells.column("cell").to_numpy()] = cells.column("bits").to_numpy()
-    return out.view(np.uint8)
+    cells = keys.select(place).groupBy(F.shiftright("place", 6).alias("cell")).agg(bit)
+    parts = F.shiftright("cell", PIECE_BITS - 6).alias("piece")
+
+    def pieces(batches):
+        made = {}
+        for batch in batches:
+            piece, cell, bits = (c.to_numpy() for c in batch.columns)
+            for p in np.unique(piece):
+                mine = piece == p
+                made.setdefault(int(p), np.zeros(1 << (PIECE_BITS - 6), np.int64))[
+                    cell[mine] & (1 << (PIECE_BITS - 6)) - 1
+                ] = bits[mine]
+        if made:
+            blobs = pa.array([x.tobytes() for x in made.values()], pa.binary())
+            yield pa.record_batch([pa.array(list(made), pa.int64()), blobs], ["piece", "bits"])
+
+    dealt = cells.select(parts, "cell", "bits").repartition("piece")
+    out = np.zeros(1 << (MAP_BITS - 3), np.uint8)
+    made = dealt.mapInArrow(pieces, "piece long, bits binary").toArrow()
+    for piece, bits in zip(*made.columns, strict=True):
+        start = piece.as_py() << (PIECE_BITS - 3)
+        out[start : start + (1 << (PIECE_BITS - 3))] = np.frombuffer(bits.as_buffer(), np.uint8)
+    return out
 
 
 def _marked(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -370,14 +394,11 @@ def collocations(
     )
     n_words = totals.agg(F.sum("n")).first()[0] or 0
     hot = frequent.where(F.col("n") * HOT >= n_words).select("key").toArrow().column("key").to_numpy()
-    routed = _routed(
-        texts,
-        context.broadcast(bit_map(frequent)),
-        context.broadcast(hot.view(np.uint64)),
-        tally.segment_bits(size, 4 * tally.SEGMENT_BYTES),
-        longest,
-    )
+    sent = [context.broadcast(bit_map(frequent)), context.broadcast(hot.view(np.uint64))]
+    routed = _routed(texts, *sent, tally.segment_bits(size, 4 * tally.SEGMENT_BYTES), longest)
     phrases = stage(_sorted_counts(routed, longest, least), "phrases")
+    for broadcast in sent:  # the next map is made when this one is gone
+        broadcast.destroy()
     words = stage(_word_counts(phrases, frequent), "phrase_words")
     chosen = _uncovered(phrases, percent)
     scored = stage(

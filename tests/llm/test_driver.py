@@ -1,8 +1,10 @@
 """What reaches the driver is bounded, whatever the number of keys."""
 
+import numpy as np
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
-from sparkgauge.llm import line_dedup, shared
+from sparkgauge.llm import collocations, line_dedup, shared
 
 
 def test_lookups_of_lines_broadcast_a_bit_map_only(spark, monkeypatch):
@@ -22,3 +24,15 @@ def test_lookups_of_lines_broadcast_a_bit_map_only(spark, monkeypatch):
     assert members.select("id").distinct().count() == 4000
     assert members.groupBy("bucket").count().where("count < 2").count() == 0
     assert sent and max(sent) <= shared.CELLS // shared.CELLS_A_ROW
+
+
+def test_bit_maps_reach_the_driver_in_pieces(spark, monkeypatch):
+    came = []
+    to_arrow = DataFrame.toArrow
+    monkeypatch.setattr(DataFrame, "toArrow", lambda df: came.append(to_arrow(df)) or came[-1])
+    keys = spark.range(3000).select(F.xxhash64("id").alias("key"))
+    bits = collocations.bit_map(keys)
+    place = np.array([r.key for r in keys.collect()]).view(np.uint64) >> np.uint64(64 - collocations.MAP_BITS)
+    assert np.array_equal(np.flatnonzero(np.unpackbits(bits, bitorder="little")), np.unique(place))
+    assert sum(t.num_rows for t in came) <= 1 << collocations.MAP_BITS - collocations.PIECE_BITS
+    assert not collocations.bit_map(keys.where("false")).any()
