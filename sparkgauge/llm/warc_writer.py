@@ -239,7 +239,7 @@ def write(
         writer,
         "file string, records long, bytes long, sha256 string, first_id long, last_id long",
     )
-    manifest.write.parquet(f"{folder}/manifest")
+    manifest.write.option("compression", "zstd").parquet(f"{folder}/manifest")
     files, base = _file_system(folder)
     if files.get_file_info(f"{base}/_temporary").type == pfs.FileType.Directory:
         files.delete_dir(f"{base}/_temporary")
